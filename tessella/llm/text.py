@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators when only letters and digits count: every ASCII byte that is neither.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 
@@ -96,13 +98,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """All words of a list of texts: byte positions, document numbers and 64-bit hashes, in arrays."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, white: np.ndarray = WHITE):
         parts = [raw(t) for t in texts]
         data = b"\n".join(parts) + b"\n"
         self.data = data.lower() if lower else data  # bytes: only A-Z change
         self.buf = np.frombuffer(self.data, np.uint8)
         self.doc_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        white = WHITE[self.buf]
+        white = white[self.buf]
         edges = np.flatnonzero(white[1:] != white[:-1]) + 1
         if not white[0]:
             edges = np.r_[0, edges]
