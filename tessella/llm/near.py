@@ -11,8 +11,8 @@ Each set is sampled BANDS * ROWS times: every shingle takes part in every sample
 if the set is small, and in one sample, chosen by its hash, if it is large; sets
 of a size where a similar one could be dealt with the other way have both kinds.
 Samples form bands; texts that share a band's key meet at the key's smallest
-text (one comparison for each member), those that fail there at the smallest of
-the rest, and so on. A pair is linked if its exact weighted Jaccard similarity
+text (one comparison for each member). Those that fail there meet once more at
+the smallest of those that fail with them and share a second band too. A pair is linked if its exact weighted Jaccard similarity
 is at least THRESHOLD. Classes are the connected components of the links.
 """
 
@@ -199,6 +199,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _followers(members: DataFrame) -> DataFrame:
+    """(key, doc_id, a): the members of each key but its smallest, which is ``a``."""
+    leaders = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return store(members.join(leaders, "key").filter("doc_id > a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's connected component, by neighbours' minima and pointer jumping."""
     both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -232,29 +238,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = store(members.join(several, "key"))
     texts = store(valid.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    while True:
-        leaders = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        rest = store(members.join(leaders, "key").filter("doc_id > a"))
-        if not rest.limit(1).count():
-            break
-        pairs = rest.select("a", F.col("doc_id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        found = store(_verified(pairs, texts, sent, threshold))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        known = links.select("a", F.col("b").alias("doc_id"))
-        members = store(rest.join(known, ["a", "doc_id"], "left_anti").select("key", "doc_id"))
+    rest = _followers(members)
+    pairs = store(rest.select("a", F.col("doc_id").alias("b")).distinct())
+    links = store(_verified(pairs, texts, sent, threshold))
+    # those that failed at their leader meet again where they share one more band
+    failed = rest.join(links.select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_anti")
+    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode("keys").alias("more")).filter("key < more")
+    again = _followers(store(finer.select("doc_id", F.xxhash64("key", "more").alias("key"))))
+    pairs = store(again.select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = store(links.unionByName(_verified(pairs, texts, sent, threshold)))
     base = valid.select("doc_id", "th").join(reps.select("th", F.col("doc_id").alias("rep"), "n_copies"), "th")
-    if links is None:
-        merged = base.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies")
-    else:
-        ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-        labels = components(links).withColumnRenamed("node", "rep").join(ends, "rep")
-        merged = base.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    labels = components(links).withColumnRenamed("node", "rep").join(ends, "rep")
+    merged = base.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     alone = keyed.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return merged.unionByName(alone)
 
