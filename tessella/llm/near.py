@@ -243,8 +243,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = store(_verified(pairs, texts, sent, threshold))
     # those that failed at their leader meet again where they share one more band
     failed = rest.join(links.select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_anti")
-    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode("keys").alias("more")).filter("key < more")
-    again = _followers(store(finer.select("doc_id", F.xxhash64("key", "more").alias("key"))))
+    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode("keys").alias("more")).filter("key != more")
+    again = _followers(store(finer.select("doc_id", F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key")).distinct()))
     pairs = store(again.select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     links = store(links.unionByName(_verified(pairs, texts, sent, threshold)))
     base = valid.select("doc_id", "th").join(reps.select("th", F.col("doc_id").alias("rep"), "n_copies"), "th")
