@@ -12,7 +12,8 @@ if the set is small, and in one sample, chosen by its hash, if it is large; sets
 of a size where a similar one could be dealt with the other way have both kinds.
 Samples form bands; texts that share a band's key meet at the key's smallest
 text (one comparison for each member). Those that fail there meet once more at
-the smallest of those that fail with them and share a second band too. A pair is linked if its exact weighted Jaccard similarity
+the smallest of those that fail with them and share one of the next NEXT bands
+too. A pair is linked if its exact weighted Jaccard similarity
 is at least THRESHOLD. Classes are the connected components of the links.
 """
 
@@ -31,6 +32,7 @@ GAIN = 0.2
 HOT = 1 << 16
 BANDS = 12
 ROWS = 3
+NEXT = 3
 #: Distinct shingles up to which a set is sampled in full, and from which it is dealt to samples.
 FULL_TO, DEALT_FROM = 240, 90
 _SEED = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 5, np.uint64)]
@@ -243,8 +245,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = store(_verified(pairs, texts, sent, threshold))
     # those that failed at their leader meet again where they share one more band
     failed = rest.join(links.select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_anti")
-    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode("keys").alias("more")).filter("key != more")
-    again = _followers(store(finer.select("doc_id", F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key")).distinct()))
+    next_bands = F.slice(F.concat("keys", "keys"), F.array_position("keys", F.col("key")).cast("int") + 1, F.least(F.lit(NEXT), F.size("keys") - 1))
+    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode(next_bands).alias("more"))
+    again = _followers(store(finer.select("doc_id", F.xxhash64("key", "more").alias("key"))))
     pairs = store(again.select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     links = store(links.unionByName(_verified(pairs, texts, sent, threshold)))
     base = valid.select("doc_id", "th").join(reps.select("th", F.col("doc_id").alias("rep"), "n_copies"), "th")
