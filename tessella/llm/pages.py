@@ -231,7 +231,8 @@ def induce(samples: list[str]) -> tuple[str, list[int], int]:
                 if text:
                     seen[x.at] = seen.get(x.at, 0) + 1
                     same[x.at] = same.get(x.at, 0) + (text == y.own_text())
-    constant = {k for k, n in seen.items() if n >= 2 and same[k] == n}
+    inline = {n.at for n in nodes(reference) if n.tag in INLINE}  # parts of their blocks
+    constant = {k for k, n in seen.items() if n >= 2 and same[k] == n and k not in inline}
     slots = _slots(reference, constant)
     if not any(slots.values()):  # copies of one page: no slot varies
         constant, slots = set(), _slots(reference)
@@ -281,7 +282,8 @@ class Wrapper:
         drop = set()
         if target is not None:
             drop = {y.at for x, y in pairs if x.at in self.constant and x.own_text() == y.own_text()}
-            found = blocks(target, drop)
+            # an article that pages share is an article still
+            found = blocks(target, set() if target.tag in ("article", "main") else drop)
             if found:
                 return "\n".join(found)
         own = _slots(tree, drop)
