@@ -266,12 +266,12 @@ def _(spark, d):
 PRIOR = "(SELECT arg_{m}({{'x': b.x, 'y': b.y}}, b.x) FROM b WHERE b.z = a.z AND b.x {c} a.x)"
 
 
-@query("difference_yoy", MONTHLY + ", b AS (SELECT x + INTERVAL 1 YEAR AS x, z, y FROM s), n AS (SELECT x, z, y, " + PRIOR.format(m="max", c="<=") + " AS p, " + PRIOR.format(m="min", c=">=") + " AS q FROM s a) SELECT x, z, round(y, 2) AS y, round(CASE WHEN p.x = q.x THEN p.y ELSE p.y + (q.y - p.y) * (epoch(x) - epoch(p.x)) / (epoch(q.x) - epoch(p.x)) END, 2) AS other_y FROM n")
+@query("difference_yoy", MONTHLY + ", b AS (SELECT x + INTERVAL 1 YEAR AS x, z, y FROM s), n AS (SELECT x, z, y, " + PRIOR.format(m="max", c="<=") + " AS p, " + PRIOR.format(m="min", c=">=") + " AS q FROM s a) SELECT x, z, round(y, 2) AS y, round(CASE WHEN p.x = q.x THEN p.y ELSE p.y + (q.y - p.y) * (epoch(x) - epoch(p.x)) / (epoch(q.x) - epoch(p.x)) END, 4) AS other_y FROM n")
 def _(spark, d):
     m = monthly(spark, d)
     before = O.shift_x(m, "x", "+1 year").select(F.col("x1").alias("x"), "z", "y")
     out = O.difference(m, before, "x", "y", ["z"])
-    return out.select("x", "z", F.round("y", 2).alias("y"), F.round("other_y", 2).alias("other_y"))
+    return out.select("x", "z", F.round("y", 2).alias("y"), F.round("other_y", 4).alias("other_y"))
 
 
 STACKS = {
