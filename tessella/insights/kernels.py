@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import lgamma
 from statistics import NormalDist
 
 import numpy as np
@@ -88,15 +89,38 @@ def detrend(v: np.ndarray) -> np.ndarray:
     return full - full.mean() - slope * x
 
 
-def periods(v: np.ndarray, least: int = 4, most: int | None = None, limit: float = 0.3) -> list[tuple[int, float]]:
-    """(period, strength) at local maxima of the autocorrelation, strongest first, without multiples of shorter ones."""
+def periodogram(d: np.ndarray, least: int, most: int, quantile: float = 0.9) -> list[int]:
+    """Periods at peaks of Welch's spectrum (Hann windows that overlap by half) whose power is above a quantile of all powers."""
+    n = len(d)
+    size = min(n, max(2 * most, n // 2))
+    window = np.hanning(size + 1)[:size]
+    parts = [d[i : i + size] for i in range(0, n - size + 1, max(1, size // 2))]
+    power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * window)) ** 2 for p in parts], axis=0)[1:]
+    if not power.any():
+        return []
+    around = np.r_[-1.0, power, -1.0]
+    at = np.flatnonzero((power > np.quantile(power, quantile)) & (power >= around[:-2]) & (power > around[2:])) + 1
+    return sorted({p for p in np.rint(size / at).astype(int).tolist() if least <= p <= most})
+
+
+def periods(v: np.ndarray, least: int = 4, most: int | None = None, limit: float = 0.3, method: str = "autocorrelation") -> list[tuple[int, float]]:
+    """(period, strength) at local maxima of the autocorrelation, strongest first, without multiples of shorter ones.
+
+    ``periodogram`` takes the peaks of the spectrum instead, ``auto`` both; the
+    strength is the autocorrelation in any case.
+    """
+    if method not in ("autocorrelation", "periodogram", "auto"):
+        raise ValueError(f"unknown method {method}")
     n = len(v)
     most = min(n // 3, 512) if most is None else most
     if n < 3 * least or most < least:
         return []
     d = detrend(v)
     acf = {k: autocorrelation(d, k) for k in range(max(1, least - 1), most + 2)}
-    found = [(k, acf[k]) for k in range(least, most + 1) if acf[k] >= limit and acf[k] >= acf.get(k - 1, -2) and acf[k] > acf.get(k + 1, -2)]
+    at = set(periodogram(d, least, most)) if method != "autocorrelation" else set()
+    if method != "periodogram":
+        at |= {k for k in range(least, most + 1) if acf[k] >= acf.get(k - 1, -2) and acf[k] > acf.get(k + 1, -2)}
+    found = [(k, acf[k]) for k in sorted(at) if acf[k] >= limit]
     kept = [(p, s) for p, s in found if not any(q < p and p % q == 0 and t >= s - 0.05 for q, t in found)]
     return sorted(kept, key=lambda x: (-x[1], x[0]))
 
@@ -171,6 +195,41 @@ def binary_segmentation(v: np.ndarray, cost: str = "linear", penalty: float = 1.
     return ends[1:-1]
 
 
+def online_changepoints(v: np.ndarray, hazard: float = 1 / 250, min_segment: int = 5, most: int = 10) -> list[int]:
+    """Bayesian online changepoints (Adams and MacKay, 2007) with a normal-gamma prior on the standardised series.
+
+    The run length of largest probability at the end gives the last changepoint,
+    that at the value before it the one before, and so on; O(n^2).
+    """
+    y = interpolate(v)
+    n = len(y)
+    if np.isfinite(v).sum() < 2 * min_segment:
+        return []
+    y = (y - y.mean()) / max(y.std(), 1e-12)
+    alpha = 1 + np.arange(n + 1) / 2
+    kappa = 1.0 + np.arange(n + 1)
+    gammas = np.array([lgamma(a + 0.5) - lgamma(a) for a in alpha])
+    mean, beta, log_r, best = np.zeros(1), np.full(1, 0.1), np.zeros(1), np.zeros(n, np.int64)
+    for t, x in enumerate(y):
+        m = t + 1
+        scale = 2 * beta * (kappa[:m] + 1) / kappa[:m]
+        density = gammas[:m] - 0.5 * np.log(np.pi * scale) - (alpha[:m] + 0.5) * np.log1p((x - mean) ** 2 / scale)
+        joint = log_r + density
+        top = joint.max()
+        log_r = np.r_[top + np.log(np.exp(joint - top).sum()) + np.log(hazard), joint + np.log1p(-hazard)]
+        log_r -= log_r.max() + np.log(np.exp(log_r - log_r.max()).sum())
+        best[t] = int(np.argmax(log_r))
+        beta = np.r_[0.1, beta + kappa[:m] * (x - mean) ** 2 / (2 * (kappa[:m] + 1))]
+        mean = np.r_[0.0, (kappa[:m] * mean + x) / (kappa[:m] + 1)]
+    found, end = [], n
+    while end > 0:
+        start = end - max(int(best[end - 1]), 1)
+        if start >= min_segment and end - start >= min_segment:
+            found.append(start)
+        end = start
+    return sorted(found)[:most]
+
+
 def holt(y: np.ndarray) -> tuple[float, float, float, float, np.ndarray]:
     """alpha, beta, last level, last slope and fitted values of the best grid point."""
     grid, best = (0.05, 0.15, 0.3, 0.5, 0.7, 0.9), None

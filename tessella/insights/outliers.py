@@ -45,8 +45,15 @@ def within_category(df: DataFrame, value: str, by: list[str], t: float = 3.0) ->
     return out.drop("__v", "__m", "__d", "__mad", "__aad")
 
 
-def series_outliers(df: DataFrame, x: str, z: str, value: str, sensitivity: float = 0.5) -> DataFrame:
-    """(z, mean_score, share, is_outlier): series far from the median of all series at a tenth of their x or more."""
+def series_outliers(df: DataFrame, x: str, z: str, value: str, sensitivity: float = 0.5, method: str = "mad") -> DataFrame:
+    """(z, mean_score, share, is_outlier): series far from the median of all series at a tenth of their x or more.
+
+    ``dbscan``: at each x the values in order fall into clusters where a gap
+    exceeds t times the scale; outside of a cluster of over half of them the
+    score is 1, inside it 0, and without such a cluster 0 for all.
+    """
+    if method not in ("mad", "dbscan"):
+        raise ValueError(f"unknown method {method}")
     t = 6 - 4 * min(0.99, max(0.01, sensitivity))
     out = df.select(x, z, finite(value).alias("__v")).filter("__v IS NOT NULL")
     w = W.partitionBy(x)
@@ -54,6 +61,13 @@ def series_outliers(df: DataFrame, x: str, z: str, value: str, sensitivity: floa
     out = out.withColumn("__s", F.percentile("__d", F.lit(0.5)).over(w)).withColumn("__a", F.avg("__d").over(w) * 0.5).withColumn("__n", F.count("__v").over(w))
     scale = F.when(F.col("__s") > 0, F.col("__s")).otherwise(F.col("__a"))
     score = F.when((F.col("__n") >= 3) & (scale > 0), F.least(F.lit(1.0), F.col("__d") / (scale * t))).otherwise(F.lit(0.0))
+    if method == "dbscan":
+        gap = F.col("__v") - F.lag("__v").over(w.orderBy("__v", z))
+        out = out.withColumn("__cut", F.coalesce((gap > scale * t).cast("int"), F.lit(0)))
+        out = out.withColumn("__c", F.sum("__cut").over(w.orderBy("__v", z).rowsBetween(W.unboundedPreceding, 0)))
+        out = out.withColumn("__size", F.count("__v").over(W.partitionBy(x, "__c")))
+        main = F.max("__size").over(w) * 2 > F.col("__n")
+        score = F.when((F.col("__n") >= 3) & (scale > 0) & main & (F.col("__size") * 2 <= F.col("__n")), F.lit(1.0)).otherwise(F.lit(0.0))
     got = out.withColumn("__score", score).groupBy(z).agg(F.avg("__score").alias("mean_score"), F.avg((F.col("__score") >= 1).cast("double")).alias("share"))
     enough = F.count(F.lit(1)).over(W.partitionBy()) >= 3
     return got.withColumn("is_outlier", enough & (F.col("share") >= 0.1))

@@ -15,15 +15,15 @@ from .kernels import periods
 NAMES = {("second", 60): "minutely", ("minute", 60): "hourly", ("hour", 24): "daily", ("hour", 168): "weekly", ("day", 7): "weekly", ("day", 30): "monthly", ("day", 365): "yearly", ("week", 52): "yearly", ("month", 3): "quarterly", ("month", 12): "yearly", ("quarter", 4): "yearly"}
 
 
-def seasonality(df: DataFrame, value: str, by: list[str], order: str, least: int = 4, most: int | None = None, limit: float = 0.3, unit: str | None = None) -> DataFrame:
-    """(by, period, strength, name), strongest first by ``place``."""
+def seasonality(df: DataFrame, value: str, by: list[str], order: str, least: int = 4, most: int | None = None, limit: float = 0.3, unit: str | None = None, method: str = "autocorrelation") -> DataFrame:
+    """(by, period, strength, name), strongest first by ``place``; ``method``: autocorrelation, periodogram or auto (both)."""
     schema = df.select(*by).withColumn("place", F.lit(0)).withColumn("period", F.lit(0)).withColumn("strength", F.lit(0.0)).withColumn("name", F.lit("")).schema
     for f in schema.fields:
         f.nullable = True
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = rows.sort_values(order, kind="stable")[value].to_numpy(float)
-        found = periods(v, least, most, limit) if np.isfinite(v).any() else []
+        found = periods(v, least, most, limit, method) if np.isfinite(v).any() else []
         out = pd.DataFrame([(i, p, s, NAMES.get((unit, p))) for i, (p, s) in enumerate(found)] or [(-1, 0, 0.0, None)], columns=["place", "period", "strength", "name"]).astype({"place": "int32", "period": "int32"})
         for name, k in zip(by, key, strict=True):
             out[name] = k

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,17 +32,48 @@ def _stack_order(order: str | list | Column | None, v: Column, z: str, facet: li
     return F.col(order)
 
 
-def stack(df: DataFrame, x: str, y: str | None, z: str, row: str, facet: list[str] | None = None, order=None, reverse: bool = False, offset: str | None = None) -> DataFrame:
+def _inside_out(df: DataFrame, v: Column, z: str, facet: list[str], row: str) -> DataFrame:
+    """Adds ``__key``: series by the place of their peak, each put on the lighter side, below on ties; early ones end up in the middle.
+
+    Ranks come from one row per series, in one task a facet, and are joined back.
+    """
+    names = [f"__k{i}" for i in range(len(facet) + 1)]
+    keys = [F.col(c).alias(n) for c, n in zip([*facet, z], names, strict=True)]
+    peak = F.max_by(F.when(v.isNotNull(), F.col(row)), F.when(v.isNotNull(), F.struct(v, -F.col(row))))
+    series = df.groupBy(*keys).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("__sum"), F.coalesce(peak.cast("double"), F.lit(0.0)).alias("__at"), F.min(row).cast("double").alias("__seen"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__at", "__seen"], kind="stable").reset_index(drop=True)
+        sides, weight = ([], []), [0.0, 0.0]
+        for i, s in enumerate(rows["__sum"]):
+            side = int(weight[1] < weight[0])
+            weight[side] += s
+            sides[side].append(i)
+        rows = rows.iloc[[*reversed(sides[0]), *sides[1]]].copy()
+        rows["__key"] = range(len(rows))
+        return rows[[*names, "__key"]]
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in names), "`__key` long"])
+    grouped = series.groupBy(*names[:-1]) if facet else series.withColumn("__all", F.lit(1)).groupBy("__all")
+    ranks = grouped.applyInPandas(run, schema)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip([*facet, z], names, strict=True)]
+    return df.join(ranks, same).drop(*names)
+
+
+def stack(df: DataFrame, x: str, y: str | None, z: str, row: str, facet: list[str] | None = None, order=None, reverse: bool = False, offset: str | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds y1, y2 and y (the middle) of each row's part of its stack.
 
-    A missing value has no part. ``offset``: normalize, center or wiggle.
+    A missing value has no part. ``order``: value, x, sum, appearance, inside-out, a list of series, a column.
+    ``offset``: normalize, center, wiggle, or a function that gets the rows with y1 and y2 and gives them moved.
     """
     facet = facet or []
     v = F.lit(1.0) if y is None else finite(y)
     df = df.withColumn("__v", v)
     v = F.col("__v")
-    key = _stack_order(order, v, z, facet, row, x)
-    df = df.withColumn("__key", key)
+    if isinstance(order, str) and order == "inside-out":
+        df = _inside_out(df, v, z, facet, row)
+    else:
+        df = df.withColumn("__key", _stack_order(order, v, z, facet, row, x))
     by = [F.col("__key").desc(), F.col(row).desc()] if reverse else [F.col("__key").asc(), F.col(row).asc()]
     w = W.partitionBy(*facet, x, v < 0).orderBy(*by)
     before = F.coalesce(F.sum(v).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -59,6 +93,8 @@ def stack(df: DataFrame, x: str, y: str | None, z: str, row: str, facet: list[st
         df = df.drop("__lo", "__hi")
     elif offset == "wiggle":
         df = _wiggle(df, x, z, row, facet, by)
+    elif callable(offset):
+        df = offset(df)
     elif offset is not None:
         raise ValueError(f"unknown offset {offset}")
     return df.withColumn("y", (F.col("y1") + F.col("y2")) / 2).drop("__v", "__key")

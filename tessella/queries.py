@@ -6,6 +6,7 @@ Derived floating values are rounded to six decimals on both sides.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import insights as I
@@ -410,3 +411,37 @@ def _(spark, d):
 def _(spark, d):
     chart = plot(table(spark, d, "orders"), {"mark": "lineY", "x": "o_orderdate", "y": "o_totalprice", "color": "o_orderpriority", "reduce": "sum", "interval": "month"}, "o_orderkey")
     return chart.data.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("stack_inside_out")
+def _(spark, d):
+    m = monthly(spark, d).withColumnRenamed("y", "v").withColumn("row", F.unix_seconds("x") * 10 + F.substring("z", 1, 1).cast("int"))
+    return O.stack(m, "x", "v", "z", "row", order="inside-out").select("x", "z", F.round("y1", 2).alias("y1"), F.round("y2", 2).alias("y2"))
+
+
+@query("stack_offset_function", MONTHLY + ", t AS (SELECT *, coalesce(sum(y) OVER (PARTITION BY x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(y) OVER (PARTITION BY x) AS total FROM s) SELECT x, z, round(below - total, 2) AS y1, round(below + y - total, 2) AS y2 FROM t")
+def _(spark, d):
+    def hang(rows: DataFrame) -> DataFrame:
+        top = F.max("y2").over(W.partitionBy("x"))
+        return rows.withColumn("top", top).withColumns({"y1": F.col("y1") - F.col("top"), "y2": F.col("y2") - F.col("top")}).drop("top")
+
+    m = monthly(spark, d).withColumn("row", F.substring("z", 1, 1).cast("int")).withColumnRenamed("y", "v")
+    return O.stack(m, "x", "v", "z", "row", offset=hang).select("x", "z", F.round("y1", 2).alias("y1"), F.round("y2", 2).alias("y2"))
+
+
+@query("series_outliers_dbscan", DAILY + ", m AS (SELECT *, quantile_cont(y, 0.5) OVER (PARTITION BY x) AS m, count(*) OVER (PARTITION BY x) AS n FROM s), d AS (SELECT *, quantile_cont(abs(y - m), 0.5) OVER (PARTITION BY x) AS mad, avg(abs(y - m)) OVER (PARTITION BY x) * 0.5 AS aad FROM m), e AS (SELECT *, CASE WHEN mad > 0 THEN mad ELSE aad END AS s, y - lag(y) OVER (PARTITION BY x ORDER BY y, z) AS gap FROM d), c AS (SELECT *, sum(CASE WHEN gap > 4 * s THEN 1 ELSE 0 END) OVER (PARTITION BY x ORDER BY y, z) AS c FROM e), k AS (SELECT *, count(*) OVER (PARTITION BY x, c) AS size FROM c), b AS (SELECT *, max(size) OVER (PARTITION BY x) AS big FROM k) SELECT z, round(avg(CASE WHEN n >= 3 AND s > 0 AND big * 2 > n AND size * 2 <= n THEN 1.0 ELSE 0.0 END), 6) AS mean_score FROM b GROUP BY 1")
+def _(spark, d):
+    return rounded(I.series_outliers(daily(spark, d), "x", "z", "y", method="dbscan").select("z", "mean_score"), "mean_score")
+
+
+for _name in ("periodogram", "auto"):
+
+    def _season(spark, d, how=_name):
+        return rounded(I.seasonality(daily(spark, d), "y", ["z"], "x", unit="day", method=how), "strength")
+
+    query(f"seasonality_{_name}")(_season)
+
+
+@query("changepoint_normal_gamma")
+def _(spark, d):
+    return rounded(I.changepoints(daily(spark, d), "y", ["z"], "x", method="normal-gamma"), "mean")

@@ -56,3 +56,26 @@ def test_constant_and_short_series(spark):
     assert I.anomalies(frame(spark, [1, 1]), "y", ["z"], "x", "mad").filter("is_anomaly").count() == 0
     assert I.forecast(frame(spark, [1]), "y", ["z"], "x").count() == 0
     assert K.robust_z(np.array([1.0, 1, 1])).tolist() == [0, 0, 0]
+
+
+def test_spectral_periods():
+    wave = np.array([math.sin(2 * math.pi * i / 12) for i in range(240)])
+    for how in ("periodogram", "auto"):
+        assert K.periods(wave, method=how)[0][0] == 12
+    assert K.periods(np.ones(60), method="periodogram") == []
+
+
+def test_online_changepoints(spark):
+    noise = np.random.default_rng(1).normal(0, 1, 120)
+    noise[60:] += 12
+    found = K.online_changepoints(noise)
+    assert len(found) == 1 and abs(found[0] - 60) <= 1
+    assert K.online_changepoints(np.random.default_rng(2).normal(0, 1, 120)) == []
+    got = I.changepoints(frame(spark, noise.tolist()), "y", ["z"], "x", method="normal-gamma").orderBy("segment").collect()
+    assert [r.start for r in got] == [0, found[0]] and got[1].mean > 11
+
+
+def test_dbscan_finds_the_far_series(spark):
+    rows = [(k, float(v), i) for k, v in zip("abcdefg", [1, 2, 1.5, 2.5, 1, 2, 50], strict=True) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, v double, x int")
+    assert [r.k for r in I.series_outliers(df, "x", "k", "v", method="dbscan").filter("is_outlier").collect()] == ["g"]

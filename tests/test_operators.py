@@ -73,6 +73,20 @@ def test_stack_offsets(spark):
     assert all(r.y1 == k for k, z in enumerate("ab") for r in O.stack(flat, "x", "v", "z", "row", offset="wiggle").filter(F.col("z") == z).collect())
 
 
+def test_stack_inside_out_and_offset_function(spark):
+    peaks = {"a": (9, 1, 1), "b": (1, 8, 1), "c": (1, 1, 7), None: (2, 2, 3)}
+    rows = [(x, z, float(h), 10 * x + k) for k, (z, hs) in enumerate(peaks.items()) for x, h in enumerate(hs)]
+    df = spark.createDataFrame(rows, "x int, z string, v double, row int")
+    got = O.stack(df, "x", "v", "z", "row", order="inside-out").filter("x = 0").orderBy("y1").collect()
+    # by peak: a (11) below, b (10) above, c (9) above since 10 < 11, then the null series (7) below
+    assert [r.z for r in got] == [None, "a", "b", "c"]
+    moved = O.stack(df, "x", "v", "z", "row", offset=lambda d: d.withColumn("y1", F.col("y1") + 1).withColumn("y2", F.col("y2") + 1))
+    assert moved.agg(F.min("y1")).first()[0] == 1
+    faceted = O.stack(df.withColumn("f", F.lit("q")), "x", "v", "z", "row", ["f"], order="inside-out")
+    assert [r.z for r in faceted.filter("x = 0").orderBy("y1").collect()] == [None, "a", "b", "c"]
+    assert O.stack(df.limit(0), "x", "v", "z", "row", order="inside-out").count() == 0
+
+
 def test_intervals(spark):
     at = lambda e: spark.sql("SELECT timestamp'2024-01-31 10:20:30' AS t").select(e(F.col("t")).cast("string").alias("v")).first().v
     assert at(parse_interval("month").offset) == "2024-03-02 10:20:30"
