@@ -51,6 +51,26 @@ def cumulative_bins(df: DataFrame, keys: list[str], x: str, value: str, descendi
     return df.withColumn(value, F.sum(value).over(w))
 
 
+def cumulative_reduce(df: DataFrame, keys: list[str], value: str, by: str, bins: Bins, reducer: str, descending: bool = False) -> DataFrame:
+    """(keys, x1, y): a median, pNN or distinct of all values up to each bin of ``by`` that has rows (from it, if descending).
+
+    Equal values of a bin are counted first; each count then goes to the bins
+    after it, so the rows grow by the number of bins at most, and no task holds
+    the rows of a series.
+    """
+    if reducer != "distinct" and reducer != "median" and not (len(reducer) == 3 and reducer[0] == "p" and reducer[1:].isdigit()):
+        raise ValueError(f"{reducer} needs no values of earlier bins: use cumulative_bins")
+    binned = _present(df.withColumn("__bin", assign(by, bins)).withColumn("__v", finite(value)), [*keys, "__bin"])
+    counts = binned.groupBy(*keys, "__bin", "__v").agg(F.count("*").alias("__n"))
+    last = len(bins.edges) - 2
+    reach = F.sequence(F.lit(0), F.col("__bin")) if descending else F.sequence(F.col("__bin"), F.lit(max(last, 0)))
+    spread = counts.select(*keys, F.explode(reach).alias("__to"), "__v", "__n", (F.col("__bin") == F.col("__to")).alias("__own"))
+    p = 0.5 if reducer == "median" else 0 if reducer == "distinct" else int(reducer[1:]) / 100
+    y = F.count_distinct("__v").cast("double") if reducer == "distinct" else F.percentile("__v", F.lit(p), F.col("__n"))
+    out = spread.groupBy(*keys, "__to").agg(y.alias("y"), F.max("__own").alias("__own")).filter("__own")
+    return out.select(*keys, F.element_at(F.array(*map(F.lit, bins.edges)), F.col("__to") + 1).alias("x1"), "y")
+
+
 def complete_grid(df: DataFrame, keys: list[str], fill: dict[str, float]) -> DataFrame:
     """All combinations of the keys' values; outputs of empty groups are filled (counts and sums with 0)."""
     grid: DataFrame | None = None

@@ -445,3 +445,12 @@ for _name in ("periodogram", "auto"):
 @query("changepoint_normal_gamma")
 def _(spark, d):
     return rounded(I.changepoints(daily(spark, d), "y", ["z"], "x", method="normal-gamma"), "mean")
+
+
+for _name, _sql in (("median", "quantile_cont(p_retailprice, 0.5)"), ("distinct", "count(DISTINCT p_retailprice)::DOUBLE")):
+
+    def _cumulative_values(spark, d, how=_name):
+        df = table(spark, d, "part")
+        return O.cumulative_reduce(df, ["p_brand"], "p_retailprice", "p_size", O.bin_edges(df, "p_size", list(range(0, 61, 10))), how).withColumn("y", F.round("y", 4))
+
+    query(f"bin_cumulative_{_name}", f"SELECT b.p_brand, b.x1, round({_sql}, 4) AS y FROM (SELECT DISTINCT p_brand, (floor(p_size / 10.0) * 10)::DOUBLE AS x1 FROM part) b JOIN part p ON p.p_brand = b.p_brand AND floor(p_size / 10.0) * 10 <= b.x1 GROUP BY 1, 2")(_cumulative_values)

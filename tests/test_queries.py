@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["bin_auto_scott", "group_median", "group_min_index", "window_p90", "map_quantile", "impute_linear", "difference_yoy", "stack_normalize", "anomaly_iqr", "trend_theil_sen", "series_outliers", "series_outliers_dbscan", "stack_offset_function"]
+CHECKED = ["bin_auto_scott", "group_median", "group_min_index", "window_p90", "map_quantile", "impute_linear", "difference_yoy", "stack_normalize", "anomaly_iqr", "trend_theil_sen", "series_outliers", "series_outliers_dbscan", "stack_offset_function", "bin_cumulative_median", "bin_cumulative_distinct"]
 
 
 def cells(frame):
