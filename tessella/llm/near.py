@@ -10,11 +10,12 @@ the largest IDF.
 Each set is sampled BANDS * ROWS times: every shingle takes part in every sample
 if the set is small, and in one sample, chosen by its hash, if it is large; sets
 of a size where a similar one could be dealt with the other way have both kinds.
-Samples form bands; texts that share a band's key meet at the key's smallest
-text (one comparison for each member). Those that fail there meet once more at
-the smallest of those that fail with them and share one of the next NEXT bands
-too. A pair is linked if its exact weighted Jaccard similarity
-is at least THRESHOLD. Classes are the connected components of the links.
+Samples form bands; any two texts that share a band's key are compared, unless
+links have already put them in one class or their total weights rule it out. This
+goes in rounds: a few leaders of each key meet all its members and leave it, keys
+of one class end, and the next round has WIDER times as many leaders. A pair is
+linked if its exact weighted Jaccard similarity is at least THRESHOLD. Classes are
+the connected components of the links.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ GAIN = 0.2
 HOT = 1 << 16
 BANDS = 12
 ROWS = 3
-NEXT = 3
+#: How many times more leaders a key has in each further round, and members of a key in a part.
+WIDER, PART = 16, 512
 #: Distinct shingles up to which a set is sampled in full, and from which it is dealt to samples.
 FULL_TO, DEALT_FROM = 240, 90
 _SEED = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 5, np.uint64)]
@@ -166,14 +168,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(docs: DataFrame, sent) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.string()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.string()), ("keys", pa.list_(pa.int64())), ("mass", pa.float64())])
 
     def run(batches):
         for part in chunks(batches, "text"):
-            keys = band_keys(*shingles(part["text"], sent.value), len(part["text"]))
-            yield from batches_of(schema, doc_id=part["doc_id"], th=part["th"], keys=keys)
+            n = len(part["text"])
+            doc, h, weight = shingles(part["text"], sent.value)
+            yield from batches_of(schema, doc_id=part["doc_id"], th=part["th"], keys=band_keys(doc, h, weight, n), mass=np.bincount(doc, weight, n))
 
-    return docs.mapInArrow(run, "doc_id long, th string, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, th string, keys array<long>, mass double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
@@ -201,10 +204,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _followers(members: DataFrame) -> DataFrame:
-    """(key, doc_id, a): the members of each key but its smallest, which is ``a``."""
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return store(members.join(leaders, "key").filter("doc_id > a"))
+def _met(members: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that meet in one round, and the members (key, doc_id, label, mass) that are left for the next.
+
+    About ``width`` leaders of each key, chosen by hash, meet all its members of
+    other labels; a key of up to 4 * ``width`` members has leaders only. ``share``
+    is the smaller of a pair's masses (total weights) over the larger.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("least")).filter("lo < hi").drop("lo", "hi")
+    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30)) / (1 << 30)
+    lead = (F.col("n") <= 4 * width) | (place * F.col("n") < width) | (F.col("doc_id") == F.col("least"))
+    rest = store(members.join(sizes.hint("merge"), "key").select("key", "doc_id", "label", "mass", lead.alias("lead"), F.expr(f"n div {PART} + 1").alias("parts")))
+    # a hot key's members are dealt to parts; its leaders go to each of them
+    left = rest.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("mass").alias("mx"))
+    right = rest.select("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", "label", "mass", "lead")
+    both = left.join(right.hint("merge"), ["key", "part"]).filter("label <> lx AND (NOT lead OR x < doc_id)")
+    share = F.least("mass", "mx") / F.greatest("mass", "mx")
+    pairs = both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"), share.alias("share"))
+    return pairs, rest.filter("NOT lead").select("key", "doc_id", "label", "mass")
+
+
+def _links(members: DataFrame, texts: DataFrame, sent, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The verified links (a, b, similarity), and (node, label) of the components they make.
+
+    Two texts that share a key are compared, unless they are already in one
+    component: leaders leave their keys only after they met every member.
+    """
+    members = members.withColumn("label", F.col("doc_id"))
+    links = tried = None
+    width = 1
+    while True:
+        pairs, left = _met(members, width)
+        # the least weights sum to the smaller mass at most, so the similarity is ``share`` at most
+        pairs = pairs.filter(F.col("share") >= threshold - 1e-9).select("a", "b").distinct()
+        pairs = store(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        found = store(_verified(pairs, texts, sent, threshold))
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        labels = components(links)
+        known = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("new"))
+        left = left.join(known.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("new", "label").alias("label"), "mass")
+        members = store(left)
+        if not members.limit(1).count():
+            return links, labels
+        width *= WIDER
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,10 +254,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        better = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        better = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        after = store(better.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
+        after = store(better.join(jump.hint("merge"), "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
         changed = after.filter("label < old").limit(1).count()
         labels = after.select("node", "label")
         if not changed:
@@ -235,24 +277,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = learn(valid)
     sent = broadcast(spark, weights, weights.keys.nbytes + weights.share.nbytes, 16 * HOT)
     rows = store(_signatures(valid.select("doc_id", "th", "text"), sent))
-    reps = store(rows.groupBy("th").agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("x"), F.count("*").alias("n_copies")).select("th", "n_copies", "x.doc_id", "x.keys"))
-    members = reps.select("doc_id", F.explode("keys").alias("key"))
+    reps = store(rows.groupBy("th").agg(F.min_by(F.struct("doc_id", "keys", "mass"), "doc_id").alias("x"), F.count("*").alias("n_copies")).select("th", "n_copies", "x.doc_id", "x.keys", "x.mass"))
+    members = reps.select("doc_id", "mass", F.explode("keys").alias("key"))
     several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = store(members.join(several, "key"))
     texts = store(valid.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    rest = _followers(members)
-    pairs = store(rest.select("a", F.col("doc_id").alias("b")).distinct())
-    links = store(_verified(pairs, texts, sent, threshold))
-    # those that failed at their leader meet again where they share one more band
-    failed = rest.join(links.select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_anti")
-    next_bands = F.slice(F.concat("keys", "keys"), F.array_position("keys", F.col("key")).cast("int") + 1, F.least(F.lit(NEXT), F.size("keys") - 1))
-    finer = failed.join(reps.select("doc_id", "keys"), "doc_id").select("doc_id", "key", F.explode(next_bands).alias("more"))
-    again = _followers(store(finer.select("doc_id", F.xxhash64("key", "more").alias("key"))))
-    pairs = store(again.select("a", F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = store(links.unionByName(_verified(pairs, texts, sent, threshold)))
+    links, labels = _links(members, texts, sent, threshold)
     base = valid.select("doc_id", "th").join(reps.select("th", F.col("doc_id").alias("rep"), "n_copies"), "th")
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    labels = components(links).withColumnRenamed("node", "rep").join(ends, "rep")
+    labels = labels.withColumnRenamed("node", "rep").join(ends, "rep")
     merged = base.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     alone = keyed.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return merged.unionByName(alone)

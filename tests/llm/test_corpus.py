@@ -117,6 +117,23 @@ def test_near_duplicates(spark, corpus):
     assert all(got[i] == i for i in range(40))
 
 
+def test_near_duplicates_that_share_a_template(spark):
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = new(304)
+    own = [new(35) for _ in range(120)]
+    docs = [template + x for x in own] + [template + x[:9] + new(26) for x in own[60:]]  # 0.78 with a foreign one, 0.83 with the own
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(docs)]
+    weights = near.learn(frame(spark, rows))
+    sets = [near.shingles([r[1]], weights)[1:] for r in rows]
+    keys = [set(near.band_keys(np.zeros(len(h), np.int64), h, w, 1)[0]) for h, w in sets]
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if keys[a] & keys[b] and near.similarity(sets[a], sets[b]) >= 0.8}
+    assert len(want) >= 55 and all(b == a + 60 for a, b in want)
+    got = {r.doc_id: r.class_id for r in near.classes(frame(spark, rows)).collect()}
+    missed = [(a, b) for a, b in want if got[b] != a]
+    assert not missed and all(got[i] == i for i in range(120))
+
+
 def test_decontamination(spark, corpus):
     t = corpus.filter("doc_id = 5").first().text.split()
     bench = spark.createDataFrame([(1, " ".join(t[40:60] + t[10:30])), (2, " ".join(texts(1, 77, 20))), (3, None), (4, "short")], "item_id long, text string")
