@@ -1,4 +1,4 @@
-"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
+"""MinHash near-dedup: consistent weighted sampling by darts over TF-IDF shingles.
 
 Equal texts are first collapsed to the smallest doc_id. A text's weighted set
 has its runs of SHINGLE words (a shorter text is one run); the weight is the
@@ -7,9 +7,10 @@ IDF. Document frequencies come from every document; words above 1/HOT of all
 (document, word) pairs, at most HOT of them, are broadcast, and the others have
 the largest IDF.
 
-Each set is sampled BANDS * ROWS times: every shingle takes part in every sample
-if the set is small, and in one sample, chosen by its hash, if it is large; sets
-of a size where a similar one could be dealt with the other way have both kinds.
+Each set is sampled BANDS * ROWS times, whatever its size: darts are thrown at
+the weights of its shingles, each in one of BANDS * ROWS bins, and the lowest of
+a bin is its sample (the darts come from hashes, those of large ranks are never
+drawn, so the work is that of one pass over the words).
 Samples form bands; any two texts that share a band's key are compared, unless
 links have already put them in one class or their total weights rule it out. This
 goes in rounds: a few leaders of each key meet all its members and leave it, keys
@@ -35,9 +36,8 @@ BANDS = 12
 ROWS = 3
 #: How many times more leaders a key has in each further round, and members of a key in a part.
 WIDER, PART = 16, 512
-#: Distinct shingles up to which a set is sampled in full, and from which it is dealt to samples.
-FULL_TO, DEALT_FROM = 240, 90
-_SEED = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 5, np.uint64)]
+#: Columns of weight that are drawn for at once.
+CELLS = 1 << 18
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -107,17 +107,56 @@ def shingles(texts: list[str | None], weights: Weights) -> tuple[np.ndarray, np.
     return doc[starts], s[starts], tf * (1 + GAIN * mean[starts])
 
 
-def _uniform(h: np.ndarray, i: int) -> np.ndarray:
-    return ((mix(h ^ _SEED[i]) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def consistent(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Improved consistent weighted sampling: the value to minimise, and the sample (shingle and quantised weight) as a hash."""
-    r = -np.log(_uniform(h, 0) * _uniform(h, 1))
-    c = -np.log(_uniform(h, 2) * _uniform(h, 3))
-    beta = _uniform(h, 4)
-    t = np.floor(np.log(weight) / r + beta)
-    return np.log(c) - r * (t - beta + 1), mix(h + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _darts(h: np.ndarray, weight: np.ndarray, limit: np.ndarray):
+    """The darts (number of its shingle, rank, hash) that hit the shingles and rank below ``limit``, block by block.
+
+    A shingle's weight is cut into columns of a fixed width; on each, darts fall
+    as a Poisson process of rate 1 over weight and rank, drawn from hashes of
+    shingle, column and number alone. A dart hits if its height is within the
+    weight. So the lowest dart of a set agrees with that of another with
+    probability of their weighted Jaccard similarity.
+    """
+    width = 1 + GAIN  # a shingle that is there once has one column
+    columns = np.ceil(weight / width).astype(np.int64)
+    ends = np.cumsum(columns)
+    for lo in range(0, int(ends[-1]), CELLS):
+        at = np.arange(lo, min(lo + CELLS, int(ends[-1])))
+        own = np.searchsorted(ends, at, side="right")
+        column = at - (ends[own] - columns[own])
+        cell = mix(h[own] + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        rank = np.zeros(len(own))
+        while True:
+            cell = cell + np.uint64(0x9E3779B97F4A7C15)
+            dart = mix(cell)
+            rank = rank - np.log(_uniform(dart)) / width
+            near = rank < limit[own]
+            if not near.any():
+                break
+            own, column, cell, rank = own[near], column[near], cell[near], rank[near]
+            dart = mix(dart[near] ^ np.uint64(0xA24BAED4963EE407))
+            hit = (column + _uniform(mix(dart ^ np.uint64(0x9FB21C651E98DF25)))) * width < weight[own]
+            yield own[hit], rank[hit], dart[hit]
+
+
+def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """BANDS * ROWS consistent weighted samples of each text, as hashes (0: no shingle): the lowest darts of as many bins."""
+    k = BANDS * ROWS
+    out = np.zeros((n_docs, k), np.uint64)
+    mass = np.bincount(doc, weight, n_docs)
+    todo = mass > 0
+    limit = k * (np.log(k) + 4) / np.maximum(mass, 1e-9)  # few texts have a bin without a dart below this
+    while todo.any():
+        own = np.flatnonzero(todo[doc])
+        found = [(doc[own[i]] * k + (mix(dart) % np.uint64(k)).astype(np.int64), rank, dart) for i, rank, dart in _darts(h[own], weight[own], limit[doc[own]])]
+        lowest = _minima(*(np.concatenate(x) for x in zip(*found, strict=True)), n_docs * k).reshape(n_docs, k) if found else out
+        out[todo] = lowest[todo]
+        todo = todo & (out == 0).any(1)
+        limit = limit * 2
+    return out
 
 
 def _minima(group: np.ndarray, value: np.ndarray, sample: np.ndarray, n: int) -> np.ndarray:
@@ -130,33 +169,13 @@ def _minima(group: np.ndarray, value: np.ndarray, sample: np.ndarray, n: int) ->
 
 
 def band_keys(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> list[list[int]]:
-    """Band keys of each text, one or two sets of BANDS."""
-    k = BANDS * ROWS
-    size = np.bincount(doc, minlength=n_docs)
-    out: list[list[int]] = [[] for _ in range(n_docs)]
-    for kind, chosen in ((1, size >= DEALT_FROM), (2, (size > 0) & (size <= FULL_TO))):
-        own = chosen[doc]
-        d, s, w = doc[own], h[own], weight[own]
-        number = np.cumsum(chosen) - 1
-        n = int(chosen.sum())
-        if not n:
-            continue
-        if kind == 1:
-            value, sample = consistent(s, w)
-            bins = _minima(number[d] * k + ((mix(s) >> np.uint64(32)) % np.uint64(k)).astype(np.int64), value, sample, n * k).reshape(n, k)
-        else:
-            bins = np.empty((n, k), np.uint64)
-            for i in range(k):
-                value, sample = consistent(mix(s + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))), w)
-                bins[:, i] = _minima(number[d], value, sample, n)
-        keys = bins.reshape(n, BANDS, ROWS)
-        mixed = np.broadcast_to((np.arange(BANDS) + 100 * kind).astype(np.uint64), (n, BANDS)).copy()
-        for i in range(ROWS):
-            mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + keys[:, :, i])
-        full = (keys != 0).all(2)
-        for row, i in enumerate(np.flatnonzero(chosen)):
-            out[i].extend(signed(mixed[row][full[row]]).tolist())
-    return out
+    """Band keys of each text: BANDS, or none without a shingle."""
+    keys = samples(doc, h, weight, n_docs).reshape(n_docs, BANDS, ROWS)
+    mixed = np.broadcast_to(np.arange(BANDS).astype(np.uint64), (n_docs, BANDS)).copy()
+    for i in range(ROWS):
+        mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + keys[:, :, i])
+    full = (keys != 0).all(2)
+    return [signed(m[f]).tolist() for m, f in zip(mixed, full, strict=True)]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -134,6 +134,24 @@ def test_near_duplicates_that_share_a_template(spark):
     assert not missed and all(got[i] == i for i in range(120))
 
 
+@pytest.mark.parametrize(("shared", "tf", "own", "both"), [(5, 400, 250, 0), (10, 400, 250, 0), (20, 300, 250, 0), (0, 1, 20, 180), (1, 1, 0, 0), (1, 3000, 300, 0)])
+def test_samples_agree_with_probability_of_the_similarity(shared, tf, own, both):
+    rng = np.random.default_rng(shared + tf)
+    agree, banded, n = [], [], 60
+    for _ in range(n):
+        common = np.r_[np.full(shared, tf * 1.1), rng.uniform(1, 1.2, both)]
+        head = rng.integers(1, 1 << 63, len(common), np.uint64)
+        sets = [(np.r_[head, rng.integers(1, 1 << 63, own, np.uint64)], np.r_[common, rng.uniform(1, 1.2, own)]) for _ in range(2)]
+        total = sum(s[1].sum() for s in sets) - common.sum()
+        doc, h, w = np.repeat([0, 1], len(sets[0][0])), np.r_[sets[0][0], sets[1][0]], np.r_[sets[0][1], sets[1][1]]
+        keys = near.band_keys(doc, h, w, 2)
+        assert len(keys[0]) == len(keys[1]) == near.BANDS
+        banded.append(bool(set(keys[0]) & set(keys[1])))
+        a, b = near.samples(doc, h, w, 2)
+        agree.append((a == b).mean() - common.sum() / total)
+    assert np.mean(banded) > 0.95 and abs(np.mean(agree)) < 0.04
+
+
 def test_decontamination(spark, corpus):
     t = corpus.filter("doc_id = 5").first().text.split()
     bench = spark.createDataFrame([(1, " ".join(t[40:60] + t[10:30])), (2, " ".join(texts(1, 77, 20))), (3, None), (4, "short")], "item_id long, text string")
