@@ -64,6 +64,13 @@ def test_kneser_ney_sums_to_one():
         assert abs((10 ** m.score(((head << 6) | np.arange(64)).astype(np.int32)).astype(float)).sum() - 1) < 1e-4
 
 
+def test_ngrams_are_counted_in_every_document(spark):
+    docs = ["plain words", "ALL IN CAPITALS", "| a | table |\n|---|---|", "if (a && b) { *p |= 1; }", "漢字#漢字"]
+    got = perplexity.count_ngrams(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(docs)])).collect()
+    want = collections.Counter(int(g) for t in docs for g in perplexity.grams(t))
+    assert {r.gram: r.n for r in got} == want
+
+
 def test_lm_score(spark, corpus):
     got = {r.doc_id: r for r in scoring.lm_score(corpus).collect()}
     tokens = {r.doc_id: [*words(r.text.translate({c: c + 32 for c in range(65, 91)})), None] for r in corpus.collect()}
