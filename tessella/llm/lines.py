@@ -1,13 +1,11 @@
-"""Line dedup by winnowing over line hashes.
-
-A document is the sequence of the hashes of its lines that have a word. Hashes
-of every GRAM consecutive lines are winnowed: the smallest of each WINDOW
-consecutive ones (the last of equals) is a fingerprint, so that any run of
-GRAM + WINDOW - 1 lines that occurs twice has a common one. Each occurrence of a
-fingerprint is joined with the first of all, in order of (doc_id, text hash,
-line), found by a minimum that Spark pre-aggregates, so common fingerprints cost
-no pairs. A match is extended line by line in both directions, and a run of
-MIN_LINES or more lines that repeats an earlier place is deleted.
+"""Line dedup over hashes of all windows of lines.
+
+A document is the sequence of the hashes of its lines that have a word. The
+hash of every MIN_LINES consecutive lines is joined with the first place of its
+own, in order of (doc_id, text hash, line), found by a minimum that Spark
+pre-aggregates, so common windows cost no pairs. A window that has an earlier
+place is deleted, whatever the first places of its neighbours are; a run of
+MIN_LINES or more repeated lines is the union of its windows.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .text import Words, batches_of, chunks, ngram_hashes, raw, signed, store
 
-GRAM = 2
-WINDOW = 2
 MIN_LINES = 3
 
 
@@ -37,72 +33,23 @@ def line_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return np.split(h, np.cumsum(np.bincount(own[filled], minlength=len(texts)))[:-1])
 
 
-def fingerprints(lines: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes selected by winnowing."""
-    h = ngram_hashes(lines, gram)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    width = min(window, len(h))
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    at = np.unique(np.arange(len(view)) + width - 1 - np.argmin(view[:, ::-1], axis=1))
-    return at, h[at]
-
-
-def extend(own: np.ndarray, other: np.ndarray, at: int, there: int) -> tuple[int, int]:
-    """The longest run around a match, as a half-open range of ``own``.
-
-    Within one document a run may overlap its source: each line of it still
-    equals an earlier one, and the first of a chain stays.
-    """
-    lo, hi, shift = at, at, there - at
-    while lo > 0 and lo + shift > 0 and own[lo - 1] == other[lo + shift - 1]:
-        lo -= 1
-    while hi < len(own) and hi + shift < len(other) and own[hi] == other[hi + shift]:
-        hi += 1
-    return lo, hi
-
-
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc, spans): the document's key (doc_id, text hash) and the runs of its filled lines to delete."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lines", pa.binary()), ("at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, th, spans): the document's key (doc_id, text hash) and the windows of its filled lines to delete."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def sequences(batches):
         for part in chunks(batches, "text"):
             lines = line_hashes(part["text"])
             some = [i for i, x in enumerate(lines) if len(x) >= min_lines]
-            prints = [fingerprints(lines[i], gram, window) for i in some]
-            yield from batches_of(schema, doc_id=[part["doc_id"][i] for i in some], th=[part["th"][i] for i in some], lines=[lines[i].tobytes() for i in some], at=[p[0] for p in prints], fp=[signed(p[1]) for p in prints])
+            yield from batches_of(schema, doc_id=[part["doc_id"][i] for i in some], th=[part["th"][i] for i in some], fp=[signed(ngram_hashes(lines[i], min_lines)) for i in some])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.col("text").isNotNull())
-    seq = store(keyed.mapInArrow(sequences, "doc_id long, th long, lines binary, at array<int>, fp array<long>"))
-    doc = F.struct("doc_id", "th").alias("doc")
-    seen = seq.select(doc, F.explode(F.arrays_zip("at", "fp")).alias("x")).select("doc", F.col("x.at").alias("at"), F.col("x.fp").alias("fp"))
+    seq = store(keyed.mapInArrow(sequences, "doc_id long, th long, fp array<long>"))
+    seen = seq.select(F.struct("doc_id", "th").alias("doc"), F.posexplode("fp").alias("at", "fp"))
     first = seen.groupBy("fp").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    links = seen.join(first, "fp").filter(F.struct("doc", "at") > F.col("first"))
-    links = links.groupBy("doc", F.col("first.doc").alias("source")).agg(F.collect_list(F.struct("at", F.col("first.at").alias("there"))).alias("hits"))  # at most the document's lines
-    own = seq.select(doc, "lines").dropDuplicates(["doc"])
-    both = links.join(own, "doc").join(own.select(F.col("doc").alias("source"), F.col("lines").alias("other")), "source")
-    spans = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-    def runs(batches):
-        for batch in batches:
-            doc_id, th, lo, hi = [], [], [], []
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[x], np.uint64) for x in ("lines", "other"))
-                done: dict[int, int] = {}  # a diagonal and how far it is covered
-                for at, there in sorted((x["at"], x["there"]) for x in r["hits"]):
-                    if done.get(at - there, 0) > at:
-                        continue
-                    s, e = extend(a, b, at, there)
-                    done[at - there] = e
-                    if e - s >= min_lines:
-                        doc_id.append(r["doc_id"]), th.append(r["th"]), lo.append(s), hi.append(e)
-            if lo:
-                yield from batches_of(spans, doc_id=doc_id, th=th, lo=lo, hi=hi)
-
-    rows = both.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.th").alias("th"), "lines", "other", "hits")
-    found = rows.mapInArrow(runs, "doc_id long, th long, lo int, hi int")
-    return found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = seen.join(first, "fp").filter(F.struct("doc", "at") > F.col("first"))
+    spans = F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + min_lines).alias("hi"))).alias("spans")  # at most the document's lines
+    return found.groupBy("doc.doc_id", "doc.th").agg(spans)
 
 
 def delete_runs(text: str, spans: list[dict]) -> tuple[str, int]:

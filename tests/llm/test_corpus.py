@@ -191,6 +191,18 @@ def test_lines(spark, corpus):
     assert lines.dedup_lines(loop).first().text == "again"
 
 
+def test_lines_whose_pairs_were_seen_apart(spark):
+    rng = random.Random(3)
+    rows, n = [], 0
+    for _ in range(30):
+        a, b, c, d, *odd = [f"line {rng.randrange(10**9)}" for _ in range(10)]
+        for own in ([a, b, odd[0]], [odd[1], b, c, odd[2]], [odd[3], c, d, odd[4]], [a, b, c, d], [a, b, c, d]):
+            rows.append((n, "\n".join(own), "en", "s", 1))
+            n += 1
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert all(got[i] == (4 if i % 5 == 4 else 0) for i in got)
+
+
 def test_licenses_are_inherited(spark):
     files = spark.createDataFrame([(1, "r/LICENSE", "Released under the MIT License."), (2, "r/src/a.c", "int main() { return 0; }"), (3, "r/src/lib/b.c", "Licensed under the Apache License, Version 2.0\n" + "code " * 50), (4, "q/c.c", None)], "doc_id long, path string, text string")
     got = {r.doc_id: (r.license, r.via, r.licensed_by) for r in licenses.scan(files).collect()}
