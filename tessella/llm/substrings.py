@@ -29,6 +29,8 @@ MOST = 6000
 SHARD_WORDS = 700_000
 #: Bytes kept of a word's hash.
 BYTES = 5
+#: Windows that hold one anchor, at most.
+REACH = WINDOW - GRAM + 1
 
 
 class Wavelet:
@@ -215,16 +217,11 @@ def _digests(batches):
         for i, text in enumerate(part["text"]):
             tokens = (text or "").encode("utf-8", "surrogatepass").split()
             flag = np.zeros(len(tokens) + 1, np.int64)
-            for x in part["hits"][i] if part.get("hits") and part["hits"][i] else ():
-                lo, hi = context(np.int64(x["at"]), len(tokens))
-                if x["least"] is None:  # one context only: all of it is the smallest document's
-                    if x["rep"] < part["doc_id"][i] and hi - lo >= WINDOW:
-                        flag[lo] += 1
-                        flag[hi] -= 1
-                else:
-                    gone = lo + np.flatnonzero(np.asarray(x["least"]) < part["doc_id"][i])
-                    np.add.at(flag, gone, 1)
-                    np.add.at(flag, gone + WINDOW, -1)
+            if part.get("at") and part["at"][i]:
+                lo, _ = context(np.array(part["at"][i]), len(tokens))
+                start = lo[:, None] + np.arange(REACH)
+                start = start[(np.array(part["mask"][i])[:, None] >> np.arange(REACH) & 1 == 1) & (start + WINDOW <= len(tokens))]
+                flag += np.bincount(start, minlength=len(flag)) - np.bincount(start + WINDOW, minlength=len(flag))
             gone = np.cumsum(flag)[:-1] > 0
             edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
             kept = tokens if not len(edges) else [t for t, g in zip(tokens, gone.tolist(), strict=True) if not g]
@@ -247,14 +244,11 @@ def dedup(docs: DataFrame, most: int = MOST, shard_words: int = SHARD_WORDS) ->
     keyed = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
     whole = keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = store(whole.mapInArrow(_anchor_rows, "doc_id long, th long, at int, h long, ctx long"))
-    classes = store(found.groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "th", "at")).alias("rep"), F.max("doc_id").alias("last")))
+    classes = found.groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "th", "at")).alias("rep"), F.max("doc_id").alias("last"))
     shared = classes.groupBy("h").agg(F.min("rep.doc_id").alias("a"), F.max("last").alias("b"), F.count("*").alias("n_ctx")).filter("a < b").select("h", "n_ctx")
-    classes = store(classes.join(shared, "h").select("h", "ctx", "rep", "n_ctx"))
-    members = store(found.join(classes.select("h", "ctx", F.col("rep.doc_id").alias("rep"), (F.col("n_ctx") > 1).alias("several")), ["h", "ctx"]))
-    some = members.select("doc_id", "th").distinct()
-    texts = store(whole.join(some, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]))
+    classes = store(classes.join(shared, "h").select("h", "ctx", "rep", "last", "n_ctx"))  # with all columns, so that one exchange serves both sides
     wanted = classes.filter("n_ctx > 1").groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).agg(F.collect_list(F.struct("h", "ctx", F.col("rep.at").alias("at"))).alias("wanted"))  # at most a document's anchors
-    contexts = store(texts.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(_context_rows, "h long, ctx long, doc_id long, words binary"))
+    contexts = store(whole.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(_context_rows, "h long, ctx long, doc_id long, words binary").dropDuplicates(["h", "ctx"]))
     hot = classes.filter(F.col("n_ctx") > most).select("h").distinct()
     n_words = contexts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = 1 + n_words // BYTES // shard_words
@@ -264,9 +258,13 @@ def dedup(docs: DataFrame, most: int = MOST, shard_words: int = SHARD_WORDS) ->
     first = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
     exact = windows.join(first, "window").groupBy("h", "ctx").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("x")).select("h", "ctx", F.col("x.least").alias("least"))
     least = store(least.unionByName(exact))
-    hits = members.filter("several").join(least, ["h", "ctx"], "left").unionByName(members.filter("NOT several").withColumn("least", F.lit(None).cast("array<long>")))
-    hits = hits.filter("doc_id > rep OR least IS NOT NULL").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "rep", "least")).alias("hits"))
-    changed = texts.join(hits, ["doc_id", "th"]).select("doc_id", "th", "text", "hits").mapInArrow(_digests, _DIGEST).filter("n_removed > 0")
+    members = found.join(classes.select("h", "ctx", F.col("rep.doc_id").alias("rep"), "n_ctx"), ["h", "ctx"]).filter("n_ctx > 1 OR doc_id > rep")
+    # a bit for each window of the context that starts in a smaller document; without a list all do
+    bits = F.expr("aggregate(transform(least, (x, i) -> if(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    hits = members.join(least, ["h", "ctx"], "left").select("doc_id", "th", "at", F.coalesce(bits, F.lit(-1)).alias("mask")).filter("mask <> 0")
+    hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))  # at most a document's anchors
+    marked = whole.join(hits, ["doc_id", "th"]).select("doc_id", "th", "text", "hits.at", "hits.mask")
+    changed = marked.mapInArrow(_digests, _DIGEST).filter("n_removed > 0").dropDuplicates(["doc_id", "th"])
     plain = keyed.mapInArrow(_digests, _DIGEST)
     changed = changed.select("doc_id", "th", *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_sha256", "spans")))
     out = plain.join(changed, ["doc_id", "th"], "left")
