@@ -7,14 +7,18 @@ documents are (one document is the least a chunk can hold).
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at once.
+BLOCK = 1 << 17
 #: ``[^\x20\x09-\x0D]+`` as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = np.zeros(256, dtype=bool)
@@ -22,12 +26,18 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: Separators when only letters and digits count: every ASCII byte that is neither.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _U = np.uint64
+_OWN_FOLDER: dict[str, str] = {}
 _P = 0x9E3779B97F4A7C15
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessella-checkpoints").rstrip("/")
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _OWN_FOLDER.setdefault("path", tempfile.mkdtemp(prefix="tessella-"))
+    return folder.rstrip("/")
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -48,24 +58,39 @@ def broadcast(spark: SparkSession, value, size: int, bound: int):
     return spark.sparkContext.broadcast(value)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[dict[str, list]]:
-    """Columns as Python lists, split so that the column ``text`` has about ``limit`` bytes at most in a chunk."""
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose column ``text`` has about ``limit`` bytes at most."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        lengths = batch.column(text).cast(pa.large_string()).cast(pa.large_binary())
-        sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in lengths], dtype=np.int64)
-        ends = np.cumsum(sizes)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_string()).cast(pa.large_binary())), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            part = batch.slice(start, stop - start)
-            yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
+            yield batch.slice(start, stop - start)
             start = stop
 
 
+def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[dict[str, list]]:
+    """Columns as Python lists, split so that the column ``text`` has about ``limit`` bytes at most in a chunk."""
+    for part in slices(batches, text, limit):
+        yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has (whatever their case): those given, with underscores in front where needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def raw(text: str | None) -> bytes:
     """UTF-8 bytes; a null text counts as empty."""
     return text.encode("utf-8", "surrogatepass") if text else b""
@@ -120,12 +145,26 @@ class Words:
         return np.diff(sums, prepend=0)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each span."""
-        up, down = _powers(len(self.buf) + 1)
-        if not hasattr(self, "sums"):
-            self.sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=self.sums[1:])
-        return mix((self.sums[ends] - self.sums[starts]) * down[starts])
+        """Hash of the bytes of each span; the spans are in order and don't overlap."""
+        out = np.zeros(len(starts), np.uint64)
+        up, down = _powers(BLOCK + 1)
+        i = 0
+        while i < len(starts):
+            base = int(starts[i])
+            j = int(np.searchsorted(ends, base + BLOCK, side="right"))
+            if j > i:  # as many spans as end within a block
+                part = _BYTE[self.buf[base : int(ends[j - 1])]]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part * up[: len(part)], out=sums[1:])
+                lo = starts[i:j] - base
+                out[i:j] = (sums[ends[i:j] - base] - sums[lo]) * down[lo]
+                i = j
+            else:  # a span longer than a block
+                for k, at in enumerate(range(base, int(ends[i]), BLOCK)):
+                    part = _BYTE[self.buf[at : min(at + BLOCK, int(ends[i]))]]
+                    out[i] += (part * up[: len(part)]).sum(dtype=np.uint64) * _U(pow(_P, k * BLOCK, 1 << 64))
+                i += 1
+        return mix(out)
 
     def hashes(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)

@@ -186,7 +186,7 @@ def test_substrings_against_brute_force(spark, corpus):
 def test_lines(spark, corpus):
     got = {r.doc_id: r for r in lines.dedup_lines(corpus).collect()}
     assert got[104].text == "zero\nother" and got[104].n_removed == 3 and got[103].n_removed == 0
-    assert lines.delete_runs("a\n\na\nb", [{"lo": 1, "hi": 2}]) == ("a\n\nb", 1)
+    assert lines.delete_runs("a\n\na\nb", {1}) == "a\n\nb"
     loop = frame(spark, [(1, "\n".join(["again"] * 6), "en", "s", 1)])
     assert lines.dedup_lines(loop).first().text == "again"
 
@@ -203,6 +203,35 @@ def test_lines_whose_pairs_were_seen_apart(spark):
     assert all(got[i] == (4 if i % 5 == 4 else 0) for i in got)
 
 
+def lines_by_brute_force(rows, m=3):
+    """Numbers of the filled lines that go, by document."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        filled = [x for x in text.split("\n") if x.split()]
+        gone = set()
+        for k in range(len(filled) - m + 1):
+            if first.setdefault(tuple(filled[k : k + m]), (i, k)) != (i, k):
+                gone |= set(range(k, k + m))
+        out[i] = gone
+    return out
+
+
+@pytest.mark.parametrize(("kinds", "m"), [(4, 3), (12, 3), (6, 1), (8, 2), (7, 5)])
+def test_lines_against_brute_force(spark, kinds, m):
+    rng = random.Random(kinds)
+    rows = [(i, "\n".join(rng.choice([f"line {rng.randrange(kinds)}", ""]) for _ in range(rng.randrange(40)))) for i in range(80)]
+    want = lines_by_brute_force(rows, m)
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), min_lines=m).collect()}
+    for i, t in rows:
+        assert got[i].n_removed == len(want[i]) and got[i].text == lines.delete_runs(t, want[i])
+
+
+def test_lines_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc\na\nb\nc", 7, 8, "x")], "doc_id long, text string, _doc_id long, _at long, _TEXT_HASH string")
+    assert [tuple(r) for r in lines.dedup_lines(docs).collect()] == [(1, "a\nb\nc", 7, 8, "x", 3)]
+    assert lines.dedup_lines(docs.withColumnRenamed("_at", "n_removed"), removed="gone").first()["n_removed"] == 8
+
+
 def test_licenses_are_inherited(spark):
     files = spark.createDataFrame([(1, "r/LICENSE", "Released under the MIT License."), (2, "r/src/a.c", "int main() { return 0; }"), (3, "r/src/lib/b.c", "Licensed under the Apache License, Version 2.0\n" + "code " * 50), (4, "q/c.c", None)], "doc_id long, path string, text string")
     got = {r.doc_id: (r.license, r.via, r.licensed_by) for r in licenses.scan(files).collect()}
