@@ -1,19 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits of the lower-cased text. Seeds are rolling
-(Karp-Rabin) hashes of MIN_MATCH tokens; those that a document shares with a
-benchmark item are joined, and checked token by token, to give matches along
-diagonals. Tiling then repeatedly marks the longest match that doesn't overlap
-earlier ones, so reordered passages still count. A document is contaminated by
-an item if its tiles cover ``threshold`` of the item's tokens.
-
-The benchmark is the query set: it is taken in blocks of at most BLOCK_BYTES of
-text, each broadcast to a scan of all documents; any number of blocks works.
+Tokens are runs of letters and digits of the lower-cased text. Seeds are hashes
+of MIN_MATCH tokens; joining those of a document with those of the items tells
+which items it may hold enough of. Tiling then is running Karp-Rabin: the length
+of the longest match of unmarked tokens is found by rolling hashes of runs, its
+matches are checked token by token and marked where they don't overlap marked
+ones, and the next length follows, down to MIN_MATCH; so reordered passages still
+count. A document is contaminated by an item if its tiles cover ``threshold`` of
+the item's tokens. No pairs of positions are listed, so memory is in proportion
+to the texts however repetitive they are.
+
+The benchmark is the query set: it is taken in blocks of about BLOCK_BYTES of
+text (one item is the least a block can hold), each broadcast to a scan of all
+documents; any number of blocks works.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_ALNUM, Words, batches_of, broadcast, chunks
+from .text import NOT_ALNUM, Words, batches_of, chunks, ngram_hashes, slices, store
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
@@ -46,46 +50,62 @@ class Index:
         order = np.argsort(self.t.seed, kind="stable")
         self.seed, self.at = self.t.seed[order], self.t.at[order]
 
-    def find(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of positions, in ``t`` and in the items, whose MIN_MATCH tokens agree."""
-        lo = np.searchsorted(self.seed, t.seed, "left")
-        hit = np.flatnonzero(self.seed[np.minimum(lo, len(self.seed) - 1)] == t.seed) if len(self.seed) else np.zeros(0, np.int64)
-        lo = lo[hit]
-        n = np.searchsorted(self.seed, t.seed[hit], "right") - lo
-        a = np.repeat(t.at[hit], n)
-        b = self.at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        same = np.ones(len(a), bool)
-        for i in range(MIN_MATCH):  # equal hashes aren't enough
-            same &= t.hash[a + i] == self.t.hash[b + i]
-        return a[same], b[same]
+    def candidates(self, seeds: np.ndarray, threshold: float) -> list[int]:
+        """Items of whose tokens these seeds of a document cover the share ``threshold``."""
+        seeds = np.unique(seeds)
+        lo, hi = np.searchsorted(self.seed, seeds, "left"), np.searchsorted(self.seed, seeds, "right")
+        n = hi - lo
+        at = np.sort(self.at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])  # at most the block's tokens
+        if not len(at):
+            return []
+        item = self.t.doc[at]
+        new = np.minimum(np.diff(np.r_[at, at[-1] + MIN_MATCH]), MIN_MATCH)
+        new[np.r_[item[1:] != item[:-1], True]] = MIN_MATCH
+        covered = np.bincount(item, new, len(self.ids))
+        return np.flatnonzero((covered > 0) & (covered >= threshold * self.t.n)).tolist()
+
+
+def _runs(tokens: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of ``n`` unmarked tokens start, and their hashes."""
+    if len(tokens) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    marked = np.r_[0, np.cumsum(~free)]
+    at = np.flatnonzero(marked[n:] == marked[:-n])
+    return at, ngram_hashes(tokens, n)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def tile(a: np.ndarray, b: np.ndarray, k: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in a, start in b, length) from all pairs of positions where ``k`` tokens agree."""
-    order = np.lexsort((a, a - b))
-    a, b = a[order], b[order]
-    breaks = np.flatnonzero(np.r_[True, (np.diff(a) != 1) | (np.diff(a - b) != 0)])
-    ends = np.r_[breaks[1:], len(a)]
-    heap = [(-(e - s + k - 1), int(b[s]), int(a[s])) for s, e in zip(breaks, ends, strict=True)]
-    heapq.heapify(heap)
-    used_a, used_b, tiles = set(), set(), []
-    while heap:
-        length, y, x = heapq.heappop(heap)
-        free, runs = 0, []
-        for i in range(-length + 1):
-            if i < -length and x + i not in used_a and y + i not in used_b:
-                free += 1
-            else:
-                if free >= k:
-                    runs.append((-free, y + i - free, x + i - free))
-                free = 0
-        if len(runs) == 1 and runs[0][0] == length:
-            tiles.append((x, y, -length))
-            used_a.update(range(x, x - length))
-            used_b.update(range(y, y - length))
-        else:  # partly covered by longer tiles: what is left competes again
-            for r in runs:
-                heapq.heappush(heap, r)
+    """Greedy tiles (start in a, start in b, length) of two token sequences; of equally long matches the first in b, then in a, is marked first."""
+    free_a, free_b, tiles, top = np.ones(len(a), bool), np.ones(len(b), bool), [], min(len(a), len(b))
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(_runs(b, free_b, n)[1], _runs(a, free_a, n)[1]).any())
+
+    while top >= k:
+        lo, hi = k - 1, top  # the longest match is in this range: if n tokens match, so do n - 1
+        while lo < hi:
+            middle = (lo + hi + 1) // 2
+            lo, hi = (middle, hi) if shared(middle) else (lo, middle - 1)
+        if lo < k:
+            break
+        at_a, h_a = _runs(a, free_a, lo)
+        order = np.argsort(h_a, kind="stable")
+        at_a, h_a = at_a[order], h_a[order]
+        at_b, h_b = _runs(b, free_b, lo)
+        first, last = np.searchsorted(h_a, h_b, "left"), np.searchsorted(h_a, h_b, "right")
+        upto: dict[int, int] = {}  # how far the places of a run in a are used up
+        for y, s, e in zip(at_b.tolist(), first.tolist(), last.tolist(), strict=True):
+            if s == e or not free_b[y : y + lo].all():
+                continue
+            i = upto.get(s, s)
+            while i < e and not (free_a[at_a[i] : at_a[i] + lo].all() and np.array_equal(a[at_a[i] : at_a[i] + lo], b[y : y + lo])):
+                i += 1
+            upto[s] = i
+            if i < e:
+                x = int(at_a[i])
+                tiles.append((x, y, lo))
+                free_a[x : x + lo] = free_b[y : y + lo] = False
+        top = lo - 1
     return tiles
 
 
@@ -95,54 +115,64 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents (all columns) that no item contaminates."""
+    """Documents (all columns) that no item contaminates.
+
+    Null and empty texts stay; odd items match nothing, as in ``report``; an
+    empty table gives none; extra columns are kept whatever their names.
+    """
     return _scan(docs, benchmark, threshold, whole=True)
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text) in blocks of about BLOCK_BYTES of text."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + total // BLOCK_BYTES
+    held, size = [], 0
+    for part in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).sort("item_id", "text") if parts > 1 else items.sort("item_id", "text")
+        for r in rows.toLocalIterator():
+            n = len(r.text.encode("utf-8", "surrogatepass"))
+            if held and size + n > BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+            held.append((r.item_id, r.text))
+            size += n
+    if held:
+        yield held
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, threshold: float, whole: bool) -> DataFrame:
     spark = docs.sparkSession
-    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = 1 + total // BLOCK_BYTES * 2  # a block has about half of the bound
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32())))])
+    out_type = "doc_id long, item_id long, coverage double, n_tiles int, longest int, spans array<array<int>>"
 
     def found(index: Index, texts: list[str | None]):
         t = Tokens(texts)
-        a, b = index.find(t)
-        if not len(a):
-            return
-        doc, item = t.doc[a], index.t.doc[b]
-        pair = doc * len(index.ids) + item
-        order = np.argsort(pair, kind="stable")
-        a, b, pair = a[order], b[order], pair[order]
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(pair)], strict=True):
-            d, i = divmod(int(pair[s]), len(index.ids))
-            need = threshold * index.t.n[i]
-            if len(np.unique(b[s:e][:, None] + np.arange(MIN_MATCH))) < need:
-                continue  # even if all of it were tiled
-            tiles = tile(a[s:e] - t.first[d], b[s:e] - index.t.first[i])
-            covered = sum(n for _, _, n in tiles)
-            if covered >= need:
-                yield d, i, covered / int(index.t.n[i]), tiles
+        hit = np.flatnonzero(np.isin(t.seed, index.seed))
+        own = t.doc[t.at[hit]]
+        for d in np.unique(own).tolist():
+            tokens = t.hash[t.first[d] : t.first[d] + t.n[d]]
+            for i in index.candidates(t.seed[hit[own == d]], threshold):
+                size = int(index.t.n[i])
+                tiles = tile(tokens, index.t.hash[index.t.first[i] : index.t.first[i] + size])
+                covered = sum(n for _, _, n in tiles)
+                if covered >= threshold * size:
+                    yield d, i, covered / size, tiles
 
     out = []
-    for block in range(n_blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect() if n_blocks > 1 else items.collect()
-        index = Index(sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
-        sent = broadcast(spark, index, sum(len(r.text.encode("utf-8", "surrogatepass")) for r in rows), BLOCK_BYTES)
+    for k, rows in enumerate(_blocks(items)):
+        sent = spark.sparkContext.broadcast(Index(rows))  # a block: BLOCK_BYTES of text or one item
         if whole:
 
             def keep(batches, sent=sent):
-                for batch in batches:
-                    mask, at = np.ones(batch.num_rows, bool), 0
-                    for part in chunks([batch.select(["text"])], "text"):
-                        for d, *_ in found(sent.value, part["text"]):
-                            mask[at + d] = False
-                        at += len(part["text"])
-                    yield batch.filter(pa.array(mask))
-
-            docs = docs.mapInArrow(keep, docs.schema)
+                for part in slices(batches, "text"):
+                    mask = np.ones(part.num_rows, bool)
+                    for d, *_ in found(sent.value, part.column("text").to_pylist()):
+                        mask[d] = False
+                    yield part.filter(pa.array(mask))
+
+            docs = (store(docs) if k else docs).mapInArrow(keep, docs.schema)
         else:
 
             def pairs(batches, sent=sent):
@@ -151,8 +181,10 @@ def _scan(docs: DataFrame, benchmark: DataFrame, threshold: float, whole: bool)
                     if rows:
                         yield from batches_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-            out.append(docs.select("doc_id", "text").mapInArrow(pairs, "doc_id long, item_id long, coverage double, n_tiles int, longest int, spans array<array<int>>"))
-    return docs if whole else reduce(DataFrame.unionByName, out)
+            out.append(docs.select("doc_id", "text").mapInArrow(pairs, out_type))
+    if whole:
+        return docs
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], out_type)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
