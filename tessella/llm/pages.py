@@ -3,13 +3,18 @@
 For each host, up to SAMPLES pages (those with the smallest hashes under as many
 seeds: a bounded sample that Spark's aggregation picks without moving pages) are
 parsed to DOM trees and aligned with one of them by simple tree matching. Nodes
-whose own text is the same wherever they match are constant: the host's
-template. The others are varying slots, and the lowest node that holds most of
-their text is the content region. Every page of the host is then aligned with
-the reference tree, and the blocks of its content region are taken, without the
-template's nodes and without elements that are no article by their own markup
-(menus, footers, forms, adverts, comments). A page that nothing aligns with is
-its own reference.
+whose own text is the same wherever they match, on pages that aren't copies of
+one article, are constant: the host's template. The others are varying slots, and
+the lowest node that holds most of their text, or the article around it, is the
+content region. Every page of the host is then aligned with the reference tree,
+and the blocks of its content region are taken, without the template's nodes and
+without elements that are no article by their own markup (menus, footers, forms,
+adverts, comments). A page that nothing aligns with is its own reference.
+
+Matching is iterative. Children that agree in structure at either end of both
+lists are paired at once, which costs no weight; if what is left between them
+makes more than CELLS pairs, it is paired greedily in order instead of by
+dynamic programming.
 """
 
 from __future__ import annotations
@@ -29,16 +34,24 @@ SAMPLES = 8
 WRAPPER_BYTES = 48 << 20
 #: Share of the varying text that the content region holds at least.
 MASS = 0.7
+#: Pairs of children that one table of the matching holds at most.
+CELLS = 40_000
+#: Pages that share this much of the reference's text are copies of its article.
+COPY = 0.6
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIP = frozenset("nav footer aside form script style noscript template iframe svg math button select option textarea input head title dialog menu object canvas figcaption".split())
+SKIP = frozenset("nav footer aside form script style noscript template iframe svg math button select option textarea input head title dialog menu object canvas".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-NOT_CONTENT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|sidebar|menu|nav\w*|breadcrumbs?|header|footer|masthead|comments?|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|widget|copyright|legal|pager|pagination)(?:$|[-_\s\d])", re.I)
+# Customary names (class, id, role) of elements that are no article.
+NOT_CONTENT = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs header "
+    "footer masthead comment comments disqus share sharing social related recommended recommendations newsletter subscribe subscription widget pager pagination complementary contentinfo search".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
@@ -50,10 +63,10 @@ class Node:
     parts: list = field(default_factory=list)  # texts and nodes, in order
     size: int = 1  # nodes of the subtree
     at: int = 0  # number in document order
-
-    @property
-    def children(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node)]
+    shape: int = 0  # number of the subtree's structure
+    chars: int = 0  # of the subtree's texts
+    holds: bool = False  # whether an article is in it
+    children: list = field(default_factory=list)
 
     def own_text(self) -> str:
         return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
@@ -104,6 +117,7 @@ def parse(page: str | None) -> Node:
         names = " ".join(a[1] or a[2] or a[3] or a[0] for a in _ATTRIBUTE.findall(m[3])) if m[3] and "=" in m[3] or "hidden" in m[3] else ""
         node = Node(tag, names)
         stack[-1].parts.append(node)
+        stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             if tag in RAW:
@@ -113,14 +127,14 @@ def parse(page: str | None) -> Node:
 
 
 def _number(root: Node) -> None:
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        node.at = len(order)
-        order.append(node)
-        stack.extend(reversed(node.children))
+    for i, node in enumerate(order := nodes(root)):
+        node.at = i
     for node in reversed(order):
         node.size = 1 + sum(c.size for c in node.children)
+        node.shape = hash((node.tag, node.names, *(c.shape for c in node.children)))
+        node.holds = node.tag in ("article", "main", "h1") or any(c.holds for c in node.children)
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        node.chars = own + sum(c.chars for c in node.children if c.tag not in RAW)
 
 
 def nodes(root: Node) -> list[Node]:
@@ -132,50 +146,107 @@ def nodes(root: Node) -> list[Node]:
     return out
 
 
+def _ends(cx: list[Node], cy: list[Node]) -> tuple[int, int]:
+    """How many children at the start and at the end of both lists agree in structure."""
+    n, front, back = min(len(cx), len(cy)), 0, 0
+    while front < n and cx[front].shape == cy[front].shape:
+        front += 1
+    while back < n - front and cx[-1 - back].shape == cy[-1 - back].shape:
+        back += 1
+    return front, back
+
+
+def _greedy(cx: list[Node], cy: list[Node]) -> list[tuple[Node, Node]]:
+    """Children of the same tag and names paired in order, each with the next that is there."""
+    places: dict[tuple[str, str], list[int]] = {}
+    for j in range(len(cy) - 1, -1, -1):
+        places.setdefault((cy[j].tag, cy[j].names), []).append(j)
+    out, upto = [], 0
+    for x in cx:
+        own = places.get((x.tag, x.names), [])
+        while own and own[-1] < upto:
+            own.pop()
+        if own and own[-1] - upto <= len(cy) // 8 + 1:  # a far one would skip too much
+            upto = own.pop() + 1
+            out.append((x, cy[upto - 1]))
+    return out
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs of nodes of the largest order-keeping alignment whose roots match."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(x: Node, y: Node) -> int:
-        if x.tag != y.tag or x.names != y.names:
-            return 0
-        cx, cy = x.children, y.children
-        if not cx or not cy:
-            return 1
+    memo: dict[tuple[int, int], tuple[int, object]] = {}  # weight, and how the children were paired
+    if a.tag != b.tag or a.names != b.names:
+        return []
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
         key = (x.at, y.at)
-        if key not in memo:
-            table = [[0] * (len(cy) + 1)]
-            for i, u in enumerate(cx):
-                above, row = table[-1], [0]
-                for j, v in enumerate(cy):
-                    w = weight(u, v) if u.tag == v.tag else 0
-                    row.append(max(above[j + 1], row[j], above[j] + w if w else 0))
-                table.append(row)
-            memo[key] = (1 + table[-1][-1], table)
-        return memo[key][0]
-
-    pairs, todo = [], [(a, b)] if weight(a, b) else []
+        if key in memo:
+            todo.pop()
+            continue
+        if x.shape == y.shape:
+            memo[key] = (x.size, None)
+            continue
+        front, back = _ends(x.children, y.children)
+        cx, cy = x.children[front : len(x.children) - back], y.children[front : len(y.children) - back]
+        wide = len(cx) * len(cy) > CELLS
+        pairs = _greedy(cx, cy) if wide else [(u, v) for u in cx for v in cy if u.tag == v.tag and u.names == v.names]
+        missing = [(u, v) for u, v in pairs if (u.at, v.at) not in memo]
+        if missing:
+            todo.extend(missing)
+            continue
+        weight = 1 + sum(c.size for c in x.children[:front]) + sum(c.size for c in x.children[len(x.children) - back :])
+        if wide:
+            memo[key] = (weight + sum(memo[u.at, v.at][0] for u, v in pairs), pairs)
+            continue
+        of = {(u.at, v.at): memo[u.at, v.at][0] for u, v in pairs}
+        table = [[0] * (len(cy) + 1)]
+        for u in cx:
+            above, row = table[-1], [0]
+            for j, v in enumerate(cy):
+                w = of.get((u.at, v.at), 0)
+                row.append(max(above[j + 1], row[j], above[j] + w))
+            table.append(row)
+        chosen, i, j = [], len(cx), len(cy)
+        while i and j:
+            w = of.get((cx[i - 1].at, cy[j - 1].at), 0)
+            if w and table[i][j] == table[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                chosen.append((cx[i], cy[j]))
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        memo[key] = (weight + table[-1][-1], chosen)
+    out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
-        pairs.append((x, y))
-        if (x.at, y.at) in memo:
-            table, cx, cy = memo[(x.at, y.at)][1], x.children, y.children
-            i, j = len(cx), len(cy)
-            while i and j:
-                w = weight(cx[i - 1], cy[j - 1])
-                if w and table[i][j] == table[i - 1][j - 1] + w:
-                    i, j = i - 1, j - 1
-                    todo.append((cx[i], cy[j]))
-                elif table[i][j] == table[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-    return pairs
-
-
-def excluded(node: Node, inside: bool) -> bool:
-    """Whether an element is no article by its own markup; ``inside``: of an article, whose headers belong to it."""
-    return node.tag in SKIP or (node.tag == "header" and not inside) or bool(node.names and NOT_CONTENT.search(node.names))
+        out.append((x, y))
+        if x.shape == y.shape:
+            todo.extend(zip(x.children, y.children, strict=True))
+            continue
+        front, back = _ends(x.children, y.children)
+        todo.extend(zip(x.children[:front], y.children[:front], strict=True))
+        todo.extend(zip(x.children[len(x.children) - back :], y.children[len(y.children) - back :], strict=True))
+        todo.extend(memo[x.at, y.at][1])
+    return out
+
+
+def excluded(node: Node, inside: bool, root: Node) -> bool:
+    """Whether an element is no article by its own markup; ``inside``: of an article, whose headers belong to it.
+
+    Names are whole words of class, id and role; outside of an article their parts
+    between hyphens count too. An element with an article in it, or, on a page
+    without one, with most of the text isn't excluded by its names.
+    """
+    if node.tag in SKIP:
+        return True
+    names = node.names.lower().split()
+    if inside:
+        return any(x in NOT_CONTENT and x != "header" for x in names) and not node.holds
+    if node.holds or (not root.holds and 2 * node.chars > root.chars):
+        return False
+    return node.tag == "header" or any(part in NOT_CONTENT for x in names for part in (x, *x.replace("_", "-").split("-")))
 
 
 def region(root: Node, mass: dict[int, int]) -> int:
@@ -208,7 +279,7 @@ def _slots(root: Node, constant: frozenset[int] | set[int] = frozenset()) -> dic
     out, todo = {}, [(root, False)]
     while todo:
         node, inside = todo.pop()
-        if excluded(node, inside):
+        if excluded(node, inside, root):
             continue
         if node.at not in constant:
             out[node.at] = len(node.own_text())
@@ -224,13 +295,19 @@ def induce(samples: list[str]) -> tuple[str, list[int], int]:
     reference = trees[best]
     same: dict[int, int] = {}
     seen: dict[int, int] = {}
+    of = {n.at: n.own_text() for n in nodes(reference)}
+    content = _slots(reference)
+    total = sum(content.values())
     for i, tree in enumerate(trees):
-        if i != best:
-            for x, y in match(reference, tree):
-                text = x.own_text()
-                if text:
-                    seen[x.at] = seen.get(x.at, 0) + 1
-                    same[x.at] = same.get(x.at, 0) + (text == y.own_text())
+        if i == best:
+            continue
+        equal = [(x.at, of[x.at] == y.own_text()) for x, y in match(reference, tree)]
+        if total and sum(content.get(at, 0) for at, e in equal if e) >= COPY * total:
+            continue  # a copy of the article: what it shares is no template
+        for at, e in equal:
+            if of[at]:
+                seen[at] = seen.get(at, 0) + 1
+                same[at] = same.get(at, 0) + e
     inline = {n.at for n in nodes(reference) if n.tag in INLINE}  # parts of their blocks
     constant = {k for k, n in seen.items() if n >= 2 and same[k] == n and k not in inline}
     slots = _slots(reference, constant)
@@ -256,7 +333,7 @@ def blocks(root: Node, drop: set[int]) -> list[str]:
             flush()
         elif isinstance(part, str):
             held.append(part)
-        elif part is root or not (part.at in drop or excluded(part, True)):
+        elif part is root or not (part.at in drop or excluded(part, True, root)):
             if part.tag in INLINE:
                 if part.tag == "br":
                     held.append(" ")
@@ -282,8 +359,7 @@ class Wrapper:
         drop = set()
         if target is not None:
             drop = {y.at for x, y in pairs if x.at in self.constant and x.own_text() == y.own_text()}
-            # an article that pages share is an article still
-            found = blocks(target, set() if target.tag in ("article", "main") else drop)
+            found = blocks(target, drop)
             if found:
                 return "\n".join(found)
         own = _slots(tree, drop)
