@@ -52,23 +52,68 @@ def test_base_features_and_perplexity(spark, corpus):
         tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
         x = got[r.doc_id]
+        filled = [y for y in r.text.split("\n") if words(y)]
         assert (x.n_words, x.word_chars, x.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+        assert (x.n_symbols, x.n_dup_lines) == (sum(r.text.count(c) for c in "#*$%&|<>"), len(filled) - len(set(filled)))
         assert x.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (x.kept and x.base_failed)
     assert got[5].kept
 
 
-def test_kneser_ney_sums_to_one():
-    codes = np.concatenate([perplexity.grams(t) for t in texts(5)])
-    m = perplexity.KneserNey.fit(*np.unique(codes, return_counts=True))
-    for head in np.unique(codes >> 6)[:20]:
-        assert abs((10 ** m.score(((head << 6) | np.arange(64)).astype(np.int32)).astype(float)).sum() - 1) < 1e-4
-
-
-def test_ngrams_are_counted_in_every_document(spark):
-    docs = ["plain words", "ALL IN CAPITALS", "| a | table |\n|---|---|", "if (a && b) { *p |= 1; }", "漢字#漢字"]
-    got = perplexity.count_ngrams(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(docs)])).collect()
-    want = collections.Counter(int(g) for t in docs for g in perplexity.grams(t))
-    assert {r.gram: r.n for r in got} == want
+def kneser_ney_by_brute_force(docs, order=4):
+    """p(gram's last character | those in front), unpruned and interpolated, straight from the definition."""
+    pad = lambda t: [0] * (order - 1) + [int(x) for x in perplexity.codes(t)]
+    level = collections.Counter(tuple(c[i : i + order]) for c in map(pad, docs) for i in range(len(c) - order + 1))
+    levels = [level]
+    for _ in range(order - 1):
+        level = collections.Counter(g[1:] for g in level)
+        levels.insert(0, level)
+
+    def p(gram):
+        if not gram:
+            return 1 / perplexity.ALPHABET
+        level = levels[len(gram) - 1]
+        d = perplexity._discounts(collections.Counter(n for n in level.values() if n <= 4))
+        after = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        n = level[gram]
+        return (n - d[min(n, 3)]) / total + sum(d[min(x, 3)] for x in after.values()) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark):
+    docs = [*texts(4, words=12), "ALL IN CAPITALS", "| a | table |\n|---|---|", "漢字#漢字 😀", "7 and 8"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(docs)]
+    model = perplexity.fit(frame(spark, rows))["en"]
+    p = kneser_ney_by_brute_force(docs)
+    for t in [docs[0][:30], docs[4], docs[6], "never seen Ж"]:
+        want = [math.log10(p(tuple(([0] * 3 + [int(x) for x in perplexity.codes(t)])[i : i + 4]))) for i in range(len(t))]
+        assert np.allclose(model.score(perplexity.grams(t)), want, atol=1e-4)
+        assert math.isclose(perplexity.mean_scores(model, ["x y", t])[1], np.mean(want), abs_tol=1e-4)
+
+
+def test_pruned_model_still_sums_to_one(spark):
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts(6))])
+    whole, pruned = perplexity.fit(docs)["en"], perplexity.fit(docs, hot=60)["en"]
+    assert len(pruned.levels[-1][0]) <= 60 < len(whole.levels[-1][0])
+    for head in np.unique(perplexity.grams(texts(1)[0]) >> np.uint64(16))[:12]:
+        after = (head << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
+        assert abs((10 ** pruned.score(after).astype(float)).sum() - 1) < 1e-3
+        assert abs((10 ** whole.score(after).astype(float)).sum() - 1) < 1e-3
+
+
+def test_bands_by_brute_force(spark, corpus):
+    rows = perplexity.quality_rules(corpus).collect()
+    for lang in {r.lang for r in rows}:
+        own = sorted(math.log10(r.perplexity) for r in rows if r.lang == lang and not r.base_failed)
+        q1, q3 = own[math.ceil(len(own) / 4) - 1], own[math.ceil(3 * len(own) / 4) - 1]
+        width = 4 * max(q3 - q1, 5 * perplexity.BIN)
+        for r in rows:
+            if r.lang == lang:
+                assert abs(math.log10(r.lowest) - (q1 - width)) < 0.03 and abs(math.log10(r.highest) - (q3 + width)) < 0.03
+                assert r.kept == (not r.base_failed and r.lowest <= r.perplexity <= r.highest)
 
 
 def test_lm_score(spark, corpus):
@@ -168,6 +213,51 @@ def test_decontamination(spark, corpus):
     assert kept.columns == corpus.columns and kept.count() == corpus.count() - 1
 
 
+def tiles_by_brute_force(a, b, k):
+    """Covered tokens of b: the longest match of unmarked tokens is marked again and again."""
+    free_a, free_b, sizes = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for y in range(len(b)):
+            for x in range(len(a)):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n] and free_a[x + n] and free_b[y + n]:
+                    n += 1
+                best = max(best, (n, -y, -x))
+        n, y, x = best[0], -best[1], -best[2]
+        if n < k:
+            return sizes
+        sizes.append((x, y, n))
+        for i in range(n):
+            free_a[x + i] = free_b[y + i] = False
+
+
+@pytest.mark.parametrize("kinds", [2, 3, 6])
+def test_tiling_against_brute_force(kinds):
+    rng = np.random.default_rng(kinds)
+    for _ in range(40):
+        a, b = (rng.integers(1, kinds + 1, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        assert decontaminate.tile(a, b, 3) == tiles_by_brute_force(a.tolist(), b.tolist(), 3)
+
+
+def test_decontamination_of_repetitive_text(spark):
+    docs = frame(spark, [(1, "the " * 400_000, "en", "s", 1), (2, None, "en", "s", 1), (3, "a b c d e f", "en", "s", 1), (3, "", "en", "s", 1)])
+    bench = spark.createDataFrame([(1, "the " * 400), (2, "d e f a b c"), (3, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in decontaminate.report(docs, bench).collect()] == [(1, 1, 1.0, 1)]
+    odd = docs.withColumnRenamed("n_chars", "item_id")
+    assert sorted(r.doc_id for r in decontaminate.clean(odd, bench).collect()) == [2, 3, 3]
+    assert decontaminate.report(docs.limit(0), bench).count() == decontaminate.report(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_in_blocks(spark, corpus, monkeypatch):
+    t = corpus.filter("doc_id = 5").first().text.split()
+    bench = spark.createDataFrame([(i, " ".join(t[i : i + 20])) for i in range(0, 60, 10)], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.report(corpus, bench).select("doc_id", "item_id", "coverage").collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, decontaminate.report(corpus, bench).select("doc_id", "item_id", "coverage").collect())) == want and len(want) == 6
+    assert decontaminate.clean(corpus, bench).count() == corpus.count() - 1
+
+
 def test_substrings_against_brute_force(spark, corpus):
     docs = {r.doc_id: r.text.encode().split() for r in corpus.collect()}
     first: dict = {}
@@ -252,6 +342,65 @@ def test_simple_tree_matching_is_order_keeping():
     assert len(pages.match(a, b)) == 4
 
 
+def matching_by_brute_force(x, y):
+    """Weight of the largest order-keeping alignment."""
+    if x.tag != y.tag or x.names != y.names:
+        return 0
+    table = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+    for i, u in enumerate(x.children):
+        for j, v in enumerate(y.children):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + matching_by_brute_force(u, v))
+    return 1 + table[-1][-1]
+
+
+def test_matching_against_brute_force():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choices(["div", "section", "span"], k=rng.randrange(4))) if depth else "x"
+
+    for _ in range(150):
+        a, b = pages.parse(tree(4)), pages.parse(tree(4))
+        pairs = pages.match(a, b)
+        assert len(pairs) == matching_by_brute_force(a, b) == len({x.at for x, _ in pairs}) == len({y.at for _, y in pairs})
+        assert all(x.tag == y.tag for x, y in pairs)
+
+
+def site(spark, bodies, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", f"<html><head><title>t</title></head>{body}</html>") for i, body in enumerate(bodies)]
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_with_sidebar_in_their_own_classes(spark):
+    own = [f"Text {t}" for t in texts(6)]
+    got = site(spark, [f'<body class="single has-sidebar"><nav>menu</nav><div class="container no-sidebar"><p>{t}</p><p>More {i}</p></div><div class="site-footer">end</div></body>' for i, t in enumerate(own)])
+    assert got == {i: f"{t}\nMore {i}" for i, t in enumerate(own)}
+
+
+def test_pages_keep_what_belongs_to_the_article_and_drop_its_template(spark):
+    own = texts(6, 2, 40)
+    body = '<body><article><div class="entry-header"><h1>Title {i}</h1></div><div class="box">Read our terms before you go on.</div><p>{t}</p><figure><img src=x><figcaption>Figure {i}</figcaption></figure><h2 id="related-work">Related {i}</h2><p class="legal">Law {i}</p><div class="ad">buy</div></article></body>'
+    got = site(spark, [body.format(i=i, t=t) for i, t in enumerate(own)])
+    assert got == {i: f"Title {i}\n{t}\nFigure {i}\nRelated {i}\nLaw {i}" for i, t in enumerate(own)}
+
+
+def test_copies_of_one_article_are_no_template(spark):
+    t = texts(1, 3)[0]
+    got = site(spark, [f"<body><nav>menu {i}</nav><article><h1>Same</h1><p>{t}</p></article><footer>{i}</footer></body>" for i in range(6)])
+    assert set(got.values()) == {f"Same\n{t}"}
+
+
+def test_pages_of_any_depth_and_width(spark):
+    deep = ["<body>" + "<div>" * 10_000 + f"deep {i}" for i in range(4)]
+    wide = ["<body><main>" + "".join(f"<p>line {i} {k} {'<b>x</b>' * (k % 3 == i)}</p>" for k in range(3000)) + "</main></body>" for i in range(4)]
+    got = site(spark, deep)
+    assert got == {i: f"deep {i}" for i in range(4)}
+    got = site(spark, wide)
+    assert all(len(got[i].split("\n")) == 3000 for i in range(4))
+    odd = spark.createDataFrame([(None, None, "<p>a</p>", 1), (1, "http://x/", None, 2), (1, "http://x/", None, 2), (2, "", "", 3)], "page_id long, url string, html string, host long")
+    assert sorted(r.text for r in pages.extract(odd).collect()) == ["", "", "", "a"] and pages.extract(odd.limit(0)).count() == 0
+
+
 ALL = [perplexity.quality_rules, scoring.lm_score, mixing.mix, language.identify, licenses.report, near.classes, substrings.report, lines.report]
 
 
