@@ -1,6 +1,6 @@
 """MinHash near-dedup: consistent weighted sampling by darts over TF-IDF shingles.
 
-Equal texts are first collapsed to the smallest doc_id. A text's weighted set
+Equal texts are first collapsed to one node. A text's weighted set
 has its runs of SHINGLE words (a shorter text is one run); the weight is the
 run's count times 1 + GAIN * the mean IDF of its words as a share of the largest
 IDF. Document frequencies come from every document; words above 1/HOT of all
@@ -12,11 +12,18 @@ the weights of its shingles, each in one of BANDS * ROWS bins, and the lowest of
 a bin is its sample (the darts come from hashes, those of large ranks are never
 drawn, so the work is that of one pass over the words).
 Samples form bands; any two texts that share a band's key are compared, unless
-links have already put them in one class or their total weights rule it out. This
-goes in rounds: a few leaders of each key meet all its members and leave it, keys
-of one class end, and the next round has WIDER times as many leaders. A pair is
-linked if its exact weighted Jaccard similarity is at least THRESHOLD. Classes are
-the connected components of the links.
+links have already put them in one class or exact bounds rule it out. One bound is
+by total weights; the other, for keys of many members, by each text's own weight,
+that of the shingles that no other text of such keys has, its common weight, that
+of frequent shingles, and that of the rest: the difference of a pair is its own
+weights and the differences of its common ones and its rests at least. So members
+are compared with those only whose slack (own weight less a share of the total)
+fits theirs, and those of least slack, the likeliest partners of all, lead. This
+goes in rounds: leaders of each key meet its members and leave it, keys of one
+class end, and later rounds have more leaders, chosen from the texts outside of
+the key's largest class. A pair that shares several such keys meets in the
+smallest. A pair is linked if its exact weighted Jaccard similarity is at least
+THRESHOLD. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -35,7 +42,13 @@ HOT = 1 << 16
 BANDS = 12
 ROWS = 3
 #: How many times more leaders a key has in each further round, and members of a key in a part.
-WIDER, PART = 16, 512
+WIDER, PART = 256, 512
+#: Leaders of a key by slack: the least in each of as many parts of its members.
+LEADERS = 8
+#: Keys of more members than this are led, and use the bound by own weights.
+FEW = 5
+#: Texts that have a common shingle, at least.
+COMMON = 8
 #: Columns of weight that are drawn for at once.
 CELLS = 1 << 18
 
@@ -187,15 +200,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(docs: DataFrame, sent) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.string()), ("keys", pa.list_(pa.int64())), ("mass", pa.float64())])
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("mass", pa.float64())])
 
     def run(batches):
         for part in chunks(batches, "text"):
             n = len(part["text"])
             doc, h, weight = shingles(part["text"], sent.value)
-            yield from batches_of(schema, doc_id=part["doc_id"], th=part["th"], keys=band_keys(doc, h, weight, n), mass=np.bincount(doc, weight, n))
+            yield from batches_of(schema, node=part["node"], doc_id=part["doc_id"], keys=band_keys(doc, h, weight, n), mass=np.bincount(doc, weight, n))
 
-    return docs.mapInArrow(run, "doc_id long, th string, keys array<long>, mass double")
+    return docs.mapInArrow(run, "node long, doc_id long, keys array<long>, mass double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
@@ -218,40 +231,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> Dat
                 if rows:
                     yield from batches_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _met(members: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that meet in one round, and the members (key, doc_id, label, mass) that are left for the next.
+def _bounds(nodes: DataFrame, texts: DataFrame, sent) -> DataFrame:
+    """(node, own, common): total weights of each node's shingles that no other of the nodes has, and that COMMON of them have."""
+    schema = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("weight", pa.float64())])
+
+    def run(batches):
+        for part in chunks(batches, "text"):
+            doc, h, weight = shingles(part["text"], sent.value)
+            yield from batches_of(schema, h=signed(h), node=np.array(part["node"], np.int64)[doc], weight=weight)
+
+    rows = store(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "h long, node long, weight double"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("n")).filter(f"n = 1 OR n >= {COMMON}")
+    both = rows.join(counts.hint("merge"), "h")
+    return both.groupBy("node").agg(F.sum(F.expr("if(n = 1, weight, 0)")).alias("own"), F.sum(F.expr("if(n = 1, 0, weight)")).alias("common"))
 
-    About ``width`` leaders of each key, chosen by hash, meet all its members of
-    other labels; a key of up to 4 * ``width`` members has leaders only. ``share``
-    is the smaller of a pair's masses (total weights) over the larger.
+
+def _met(members: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, share) that meet in one round, and the members (key, node, label, mass, slack, common, rest, led) that are left for the next.
+
+    All members of a key of FEW lead, and LEADERS of any key that have little slack. If
+    ``width`` isn't 0, also the members of the most frequent label that has
+    ``width`` of them at most, and about ``width`` of the others, chosen by hash,
+    or all if these are 4 * ``width`` at most. Leaders meet all members of other
+    labels and leave; a key ends when one label is left. Members leave too when no
+    other's slack fits theirs. ``share`` is the smaller of a pair's masses (total
+    weights) over the larger.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("least")).filter("lo < hi").drop("lo", "hi")
-    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30)) / (1 << 30)
-    lead = (F.col("n") <= 4 * width) | (place * F.col("n") < width) | (F.col("doc_id") == F.col("least"))
-    rest = store(members.join(sizes.hint("merge"), "key").select("key", "doc_id", "label", "mass", lead.alias("lead"), F.expr(f"n div {PART} + 1").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
+    least = [F.min(F.when(part == i, F.struct("slack", "node"))).alias(f"l{i}") for i in range(LEADERS)]
+    sides = ("(common + rest)", "(common - rest)", "(rest - common)", "(- common - rest)")  # a sum of absolute values is the largest of these sums
+    kinds = members.groupBy("key", "label").agg(F.count("*").alias("n"), *least, *(F.min(F.expr(f"slack + {x}")).alias(f"m{i}") for i, x in enumerate(sides)))
+    keys = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds"), *(F.min(c).alias(c) for c in (*(f"m{i}" for i in range(4)), *(f"l{i}" for i in range(LEADERS))))).filter("kinds > 1")
+    leaders = F.array_sort(F.array(*(f"l{i}" for i in range(LEADERS))))
+    keys = keys.select("key", "n", "top", "m0", "m1", "m2", "m3", leaders.alias("leaders"), leaders[0].alias("least"))
+    place = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 30)) / (1 << 30)
+    lead = (F.col("n") <= FEW) | F.coalesce(F.array_contains(F.col("leaders.node"), F.col("node")), F.lit(False))
+    if width:
+        rest = F.col("n") - F.col("top.n")
+        lead |= F.when(F.col("label") == F.col("top.label"), F.col("top.n") <= width).otherwise((rest <= 4 * width) | (place * rest < width))
+    fits = F.expr("node = least.node OR slack + least.slack <= 1e-6" + "".join(f" AND slack - {x} + m{i} <= 1e-6" for i, x in enumerate(sides)))
+    dealt = store(members.join(keys.hint("merge"), "key").filter(fits).select("key", "node", "label", "mass", "slack", "common", "rest", "led", lead.alias("lead"), F.expr(f"n div {PART} + 1").alias("parts")))
     # a hot key's members are dealt to parts; its leaders go to each of them
-    left = rest.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("mass").alias("mx"))
-    right = rest.select("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", "label", "mass", "lead")
-    both = left.join(right.hint("merge"), ["key", "part"]).filter("label <> lx AND (NOT lead OR x < doc_id)")
+    left = dealt.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("x"), F.col("label").alias("lx"), F.col("mass").alias("mx"), F.col("slack").alias("sx"), F.col("common").alias("cx"), F.col("rest").alias("rx"), F.col("led").alias("kx"))
+    right = dealt.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "label", "mass", "slack", "common", "rest", "led", "lead")
+    both = left.join(right.hint("merge"), ["key", "part"]).filter("label <> lx AND (NOT lead OR x < node) AND slack + sx + abs(common - cx) + abs(rest - rx) <= 1e-6 AND (led IS NULL OR array_min(array_intersect(led, kx)) = key)")
     share = F.least("mass", "mx") / F.greatest("mass", "mx")
-    pairs = both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"), share.alias("share"))
-    return pairs, rest.filter("NOT lead").select("key", "doc_id", "label", "mass")
+    pairs = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), share.alias("share"))
+    return pairs, dealt.filter("NOT lead").select("key", "node", "label", "mass", "slack", "common", "rest", "led")
 
 
 def _links(members: DataFrame, texts: DataFrame, sent, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The verified links (a, b, similarity), and (node, label) of the components they make.
 
     Two texts that share a key are compared, unless they are already in one
-    component: leaders leave their keys only after they met every member.
+    component or can't be similar: leaders leave their keys only after they met
+    every member.
     """
-    members = members.withColumn("label", F.col("doc_id"))
+    # a pair reaches the threshold if its difference is at most this share of its masses, which its own weights are part of
+    least = (1 - threshold) / (1 + threshold)
+    known = _bounds(members.filter(F.col("n") > FEW).select("node").distinct(), texts, sent)
+    lists = members.filter(F.col("n") > FEW).groupBy("node").agg(F.collect_list("key").alias("led"))  # at most BANDS
+    of = lambda x, other: F.when(F.col("n") > FEW, x).otherwise(F.lit(other))  # noqa: E731  the members of smaller keys always fit
+    members = members.join(known.hint("merge"), "node", "left").join(lists.hint("merge"), "node", "left").fillna(0.0, ["own", "common"])
+    bounds = {"slack": of(F.col("own") - least * F.col("mass"), -1e9), "common": of(F.col("common"), 0.0), "rest": of(F.col("mass") - F.col("own") - F.col("common"), 0.0), "led": of(F.col("led"), None)}
+    members = members.select("key", "node", F.col("node").alias("label"), "mass", *(c.alias(name) for name, c in bounds.items()))
     links = tried = None
-    width = 1
+    width = 0
     while True:
         pairs, left = _met(members, width)
         # the least weights sum to the smaller mass at most, so the similarity is ``share`` at most
@@ -260,26 +310,38 @@ def _links(members: DataFrame, texts: DataFrame, sent, threshold: float) -> tupl
         found = store(_verified(pairs, texts, sent, threshold))
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         labels = components(links)
-        known = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("new"))
-        left = left.join(known.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("new", "label").alias("label"), "mass")
-        members = store(left)
+        known = labels.select("node", F.col("label").alias("new"))
+        left = left.join(known.hint("merge"), "node", "left").select("key", "node", F.coalesce("new", "label").alias("label"), "mass", "slack", "common", "rest", "led")
+        open_keys = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        members = store(left.join(open_keys.hint("merge"), "key", "left_semi"))
         if not members.limit(1).count():
             return links, labels
-        width *= WIDER
+        width = max(1, width) * WIDER
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's connected component, by neighbours' minima and pointer jumping."""
-    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    """(node, label): nodes of one connected component, and only those, have one label.
+
+    Each node takes the smallest neighbour of its smallest neighbour (itself
+    included), and the edges between different labels are the graph of the next
+    step, until there are none.
+    """
+    graph, labels = edges.select(F.col("a").alias("x"), F.col("b").alias("y")), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        better = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        after = store(better.join(jump.hint("merge"), "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
-        changed = after.filter("label < old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
+        both = graph.unionByName(graph.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        up = store(both.groupBy("x").agg(F.min("y").alias("up")).select("x", F.least("x", "up").alias("up")))
+        step = store(up.join(up.select(F.col("x").alias("up"), F.col("up").alias("top")).hint("merge"), "up").select(F.col("x").alias("node"), F.col("top").alias("label")))
+        if labels is None:
+            labels = step
+        else:
+            moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("new")).hint("merge"), "label", "left")
+            labels = store(moved.select("node", F.coalesce("new", "label").alias("label")))
+        ends = graph
+        for end in ("x", "y"):
+            ends = ends.join(step.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")).hint("merge"), end)
+        ends = ends.filter("of_x <> of_y").select(F.least("of_x", "of_y").alias("x"), F.greatest("of_x", "of_y").alias("y"))
+        graph = store(ends.distinct())
+        if not graph.limit(1).count():
             return labels
 
 
@@ -287,30 +349,37 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), n_links (verified links of its text), n_copies (documents of equal text).
 
     Null texts and null ids are classes of their own (class_id is the doc_id);
-    empty texts are copies of each other; rows of one id count as one document;
-    an empty table gives no rows; extra columns are ignored.
+    empty texts are copies of each other; rows of one id are documents of their
+    own; an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.md5(F.encode("text", "UTF-8")).alias("th"))
+    node = F.conv(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 15), 16, 10).cast("long")
+    keyed = docs.select("doc_id", "text", node.alias("node"))
     valid = keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     weights = learn(valid)
     sent = broadcast(spark, weights, weights.keys.nbytes + weights.share.nbytes, 16 * HOT)
-    rows = store(_signatures(valid.select("doc_id", "th", "text"), sent))
-    reps = store(rows.groupBy("th").agg(F.min_by(F.struct("doc_id", "keys", "mass"), "doc_id").alias("x"), F.count("*").alias("n_copies")).select("th", "n_copies", "x.doc_id", "x.keys", "x.mass"))
-    members = reps.select("doc_id", "mass", F.explode("keys").alias("key"))
-    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = store(_signatures(valid.select("node", "doc_id", "text"), sent))
+    reps = store(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min_by(F.struct("keys", "mass"), "doc_id").alias("x")).select("node", "rep", "n_copies", "x.keys", "x.mass"))
+    members = reps.select("node", "mass", F.explode("keys").alias("key"))
+    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = store(members.join(several, "key"))
-    texts = store(valid.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = store(valid.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     links, labels = _links(members, texts, sent, threshold)
-    base = valid.select("doc_id", "th").join(reps.select("th", F.col("doc_id").alias("rep"), "n_copies"), "th")
-    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    labels = labels.withColumnRenamed("node", "rep").join(ends, "rep")
-    merged = base.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    labelled = reps.select("node", "rep", "n_copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
+    known = store(labelled.join(known, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"))
+    merged = rows.select("node", "doc_id").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies")
     alone = keyed.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return merged.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents (all columns) without those whose class has a smaller doc_id."""
+    """Documents (all columns) without those whose class has a smaller doc_id.
+
+    Null texts and null ids stay; of rows of one id, all go if one of them has a
+    smaller copy, and else all stay; an empty table gives none; extra columns
+    are kept whatever their names.
+    """
     later = classes(docs, threshold).filter("class_id < doc_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)

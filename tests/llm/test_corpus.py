@@ -186,6 +186,39 @@ def test_near_duplicates_that_share_a_template(spark):
     assert not missed and all(got[i] == i for i in range(120))
 
 
+def test_components_against_brute_force(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60, 160)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)]
+    of = {x: x for e in edges for x in e}
+    for _ in of:
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+    got = {r.node: r.label for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(of) and len({(got[x], of[x]) for x in of}) == len(set(got.values())) == len(set(of.values()))
+
+
+def test_classes_lose_no_link_of_a_large_group(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            t[rng.randrange(150)] = f"x{rng.randrange(40) if i % 4 else rng.randrange(10**9)}"
+        rows.append((i, " ".join(t), "en", "s", 1))
+    weights = near.learn(frame(spark, rows))
+    sets = [near.shingles([r[1]], weights)[1:] for r in rows]
+    keys = [set(near.band_keys(np.zeros(len(h), np.int64), h, w, 1)[0]) for h, w in sets]
+    near_pairs = [(a, b) for b in range(len(rows)) for a in range(b) if near.similarity(sets[a], sets[b]) >= 0.8]
+    met = [(a, b) for a, b in near_pairs if keys[a] & keys[b]]
+    assert len(near_pairs) > 500 and len(met) >= 0.98 * len(near_pairs)
+    of = list(range(len(rows)))
+    for _ in range(20):
+        for a, b in met:
+            of[a] = of[b] = min(of[a], of[b])
+    assert {r.doc_id: r.class_id for r in near.classes(frame(spark, rows)).collect()} == dict(enumerate(of)) and len(set(of)) > 5
+
+
 @pytest.mark.parametrize(("shared", "tf", "own", "both"), [(5, 400, 250, 0), (10, 400, 250, 0), (20, 300, 250, 0), (0, 1, 20, 180), (1, 1, 0, 0), (1, 3000, 300, 0)])
 def test_samples_agree_with_probability_of_the_similarity(shared, tf, own, both):
     rng = np.random.default_rng(shared + tf)
