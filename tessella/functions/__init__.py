@@ -85,5 +85,10 @@ def reduce(name: Reducer, value: Column | None = None, order: Column | None = No
     return simple[name]()
 
 
-def try_divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
+def label_of(value: str | None, reducer: Reducer | None = None, label: str | None = None) -> str | None:
+    """Label of a channel: its own, or its name, with the reducer in front ("sum of value"); a count alone is "frequency"."""
+    name = label or value
+    if reducer is None or label is not None:
+        return name
+    kind = reducer if isinstance(reducer, str) else "value"
+    return f"{kind} of {name}" if name else "frequency" if kind == "count" else kind

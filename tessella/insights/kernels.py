@@ -232,7 +232,7 @@ def online_changepoints(v: np.ndarray, hazard: float = 1 / 250, min_segment: int
 
 def holt(y: np.ndarray) -> tuple[float, float, float, float, np.ndarray]:
     """alpha, beta, last level, last slope and fitted values of the best grid point."""
-    grid, best = (0.05, 0.15, 0.3, 0.5, 0.7, 0.9), None
+    grid, best = (0.05, 0.15, 0.3, 0.5, 0.7, 0.9), None  # fixed values: smoothing factors to try
     for a in grid:
         for b in grid:
             if b > a:
@@ -253,6 +253,7 @@ def holt_winters(y: np.ndarray, m: int) -> tuple[float, float, float, float, np.
     """alpha, beta, level, slope, the last season and fitted values (additive)."""
     _, seasonal, _ = decompose(y, m)
     best = None
+    # fixed values: smoothing factors to try
     for a in (0.1, 0.3, 0.5, 0.7):
         for b in (0.01, 0.05, 0.2):
             for g in (0.05, 0.2, 0.5):

@@ -10,10 +10,15 @@ from ..functions import Reducer, finite, reduce
 
 
 def _robust(df: DataFrame, v: str, by: list[str]) -> tuple[DataFrame, Column]:
-    """Adds what a robust z needs over partitions; gives the z."""
-    w = W.partitionBy(*by)
-    df = df.withColumn("__m", F.percentile(v, F.lit(0.5)).over(w)).withColumn("__d", F.abs(F.col(v) - F.col("__m")))
-    df = df.withColumn("__mad", F.percentile("__d", F.lit(0.5)).over(w) * 1.4826).withColumn("__aad", F.avg("__d").over(w) * 1.2533)
+    """Adds what a robust z needs over partitions; gives the z. Without partitions the figures are aggregates, one row that is broadcast."""
+    median, distance = F.percentile(v, F.lit(0.5)), F.abs(F.col(v) - F.col("__m"))
+    if by:
+        w = W.partitionBy(*by)
+        df = df.withColumn("__m", median.over(w)).withColumn("__d", distance)
+        df = df.withColumn("__mad", F.percentile("__d", F.lit(0.5)).over(w) * 1.4826).withColumn("__aad", F.avg("__d").over(w) * 1.2533)
+    else:
+        df = df.crossJoin(F.broadcast(df.agg(median.alias("__m"), F.count("*").alias("__all")))).withColumn("__d", distance)
+        df = df.crossJoin(F.broadcast(df.agg((F.percentile("__d", F.lit(0.5)) * 1.4826).alias("__mad"), (F.avg("__d") * 1.2533).alias("__aad"))))
     scale = F.when(F.col("__mad") > 0, F.col("__mad")).otherwise(F.col("__aad"))
     z = F.when(scale > 0, (F.col(v) - F.col("__m")) / scale).otherwise(F.when(F.col(v).isNotNull(), F.lit(0.0)))
     return df, z
@@ -24,7 +29,7 @@ def frequency_outliers(df: DataFrame, key: str, count: Column | None = None, t:
     out = df.filter(F.col(key).isNotNull()).groupBy(key).agg((F.count("*") if count is None else F.sum(count)).cast("double").alias("count"))
     out = out.withColumn("__l", F.log1p(F.greatest("count", F.lit(0.0))))
     out, z = _robust(out, "__l", [])
-    enough = F.count(F.lit(1)).over(W.partitionBy()) >= 3
+    enough = F.col("__all") >= 3
     out = out.withColumn("score", F.when(enough, z).otherwise(F.lit(0.0)))
     return out.withColumn("kind", F.when(F.col("score") < -t, "rare").when(F.col("score") > t, "dominant")).select(key, "count", "score", "kind")
 

@@ -107,6 +107,53 @@ def bin_edges(df: DataFrame, value: str, rule: str | int | Sequence[float] | Cal
     return Bins(thresholds(row["lo"], row["hi"], count))
 
 
+def interval_edges(df: DataFrame, value: str, step: float, domain: tuple[float, float] | None = None) -> Bins:
+    """Multiples of ``step`` that cover the values, or ``domain``."""
+    v = finite(value)
+    lo, hi = domain or df.agg(F.min(v), F.max(v)).first()
+    if lo is None:
+        return Bins(())
+    first, last = math.floor(lo / step), math.floor(hi / step) + 1
+    return Bins(tuple(i * step for i in range(first, last + 1)))
+
+
+def time_interval(df: DataFrame, x: str, count: int | None = None, domain: tuple | None = None):
+    """The calendar interval that gives about ``count`` bins of the times (by default twice the bins of Sturges' rule, 5 to 120)."""
+    from .interval import guess_interval
+
+    lo, hi, n = df.select(F.unix_millis(F.col(x).cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t"), F.count("t")).first()
+    if not n:
+        return guess_interval(86_400_000.0)
+    if domain:
+        lo, hi = (d.timestamp() * 1000 for d in domain)
+    count = count or max(5, min(60, math.ceil(math.log2(n)) + 1) * 2)
+    return guess_interval((hi - lo) / count)
+
+
+@dataclass(frozen=True)
+class Channel:
+    """What a channel is binned by, with options of its own that go before those of the transform."""
+
+    value: str
+    thresholds: object = None
+    interval: object = None
+    domain: tuple | None = None
+
+    def bins(self, df: DataFrame, thresholds="auto", interval=None):
+        """Bins of numbers, or an interval of times."""
+        from .interval import parse_interval
+
+        step, rule = self.interval or interval, self.thresholds if self.thresholds is not None else thresholds
+        if dict(df.dtypes)[self.value].startswith(("timestamp", "date")):
+            return parse_interval(step) if step else time_interval(df, self.value, rule if isinstance(rule, int) else None, self.domain)
+        if step:
+            return interval_edges(df, self.value, float(step), self.domain)
+        if callable(rule) and self.domain:
+            lo, hi = self.domain
+            return bin_edges(df, self.value, lambda stats: rule(stats | {"lo": lo, "hi": hi}))
+        return bin_edges(df, self.value, rule)
+
+
 def assign(value: Column | str, bins: Bins) -> Column:
     """Number of the bin of a value; null outside of all. Equal widths need no search."""
     v, edges = finite(value), bins.edges

@@ -80,5 +80,29 @@ def complete_grid(df: DataFrame, keys: list[str], fill: dict[str, float]) -> Dat
     return grid.join(df, keys, "left").fillna(fill)
 
 
-def masked(value: Column, keep: Column) -> Column:
-    return F.when(keep, value)
+def keep_empty(binned: DataFrame, bins: Bins, keys: list[str], fill: dict[str, float]) -> DataFrame:
+    """The output of ``bin_by`` with all bins of all combinations of the keys; outputs of empty ones are filled, or null."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(max(len(bins.edges) - 2, 0))), lambda i: i)
+    edges = F.array(*map(F.lit, bins.edges))
+    grid = binned.select(F.explode(at).alias("__i")).distinct()
+    for k in keys:  # domains of categories, not of rows
+        grid = grid.crossJoin(binned.select(k).distinct())
+    x1, x2 = F.element_at(edges, F.col("__i") + 1), F.element_at(edges, F.col("__i") + 2)
+    grid = grid.select(*keys, x1.alias("x1"), x2.alias("x2"), ((x1 + x2) / 2).alias("x"))
+    return grid.join(binned.drop("x2", "x"), [*keys, "x1"], "left").fillna(fill)
+
+
+def group_rows(df: DataFrame, keys: list[str], order: str, most: int = 100_000) -> DataFrame:
+    """(keys, data): the rows of each group in order. For small groups: one of more than ``most`` rows is an error."""
+    rows = _present(df, keys).groupBy(*keys).agg(F.count("*").alias("__n"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("__at"), F.struct(*df.columns).alias("row")))).alias("data"))
+    guarded = F.when(F.col("__n") > most, F.raise_error(F.lit(f"a group has more than {most} rows"))).otherwise(F.col("data.row"))
+    return rows.select(*keys, guarded.alias("data"))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation of the rows where both are finite, as an aggregate; NaN without variance."""
+    a, b = finite(x), finite(y)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(F.count(a) > 0, F.coalesce(r, F.lit(float("nan"))))

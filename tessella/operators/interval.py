@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import reduce
+from .ordered import with_previous
 from .series import impute
 
 # Milliseconds of the units with a constant length.
@@ -18,6 +19,16 @@ MONTHS = {"month": 1, "quarter": 3, "year": 12}
 MONDAY = 4 * 86_400_000  # 1970-01-05
 
 
+@dataclass(frozen=True)
+class CustomInterval:
+    """An interval by its own functions of columns: floor(x), offset(x, k) and, to fill gaps, sequence(start, stop)."""
+
+    floor: Callable[[Column], Column]
+    offset: Callable[[Column, int], Column]
+    sequence: Callable[[Column, Column], Column] | None = None
+    unit: str = "custom"
+
+
 @dataclass(frozen=True)
 class Interval:
     """``count`` units, or a number step (unit ``number``)."""
@@ -64,6 +75,8 @@ class Interval:
 
 def parse_interval(text: str | float | Interval) -> Interval:
     """``3 months``, ``day``, a number (negative: parts of one) or an interval."""
+    if isinstance(text, CustomInterval):
+        return text
     if isinstance(text, Interval):
         return text
     if isinstance(text, (int, float)):
@@ -78,15 +91,15 @@ def parse_interval(text: str | float | Interval) -> Interval:
 
 def median_step(df: DataFrame, x: str) -> float | None:
     """Upper median of the positive differences of consecutive x."""
-    gaps = df.select(F.col(x).alias("x")).withColumn("gap", F.col("x") - F.lag("x").over(W.orderBy("x"))).filter("gap > 0")
-    n = gaps.count()
-    row = gaps.orderBy("gap").withColumn("i", F.row_number().over(W.orderBy("gap"))).filter(F.col("i") == n // 2 + 1).first() if n else None
-    return float(row.gap) if row else None
+    gaps = with_previous(df.select(F.col(x).alias("x")), "x", F.col("x")).select((F.col("x") - F.col("previous")).cast("double").alias("gap")).filter("gap > 0")
+    step = gaps.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)")).first()[0]
+    return None if step is None else float(step)
 
 
 def guess_interval(step_ms: float) -> Interval:
     """The calendar interval of a typical step in milliseconds."""
     days = step_ms / MS["day"]
+    # fixed values: the least days of each unit
     for least, unit in ((360, "year"), (85, "quarter"), (27, "month"), (6.5, "week"), (0.95, "day")):
         if days >= least:
             return Interval(unit)

@@ -103,8 +103,15 @@ def stack(df: DataFrame, x: str, y: str | None, z: str, row: str, facet: list[st
 def _wiggle(df: DataFrame, x: str, z: str, row: str, facet: list[str], by: list[Column]) -> DataFrame:
     """Shift each stack so that weighted slopes cancel: a running sum over stacks of -sum((h - before) * (below + h / 2)) / sum(h)."""
     h = F.coalesce(F.col("__v"), F.lit(0.0))
-    number = F.dense_rank().over((W.partitionBy(*facet) if facet else W.partitionBy(F.lit(0))).orderBy("__first"))
-    df = df.withColumn("__first", F.min(row).over(W.partitionBy(*facet, x))).withColumn("__n", number)
+    # stacks are numbered on a table of one row each
+    keys = [*facet, x]
+    firsts = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(row).alias("__first"))
+    within = [f"__k{i}" for i in range(len(facet))]
+    firsts = firsts.withColumn("__n", F.dense_rank().over((W.partitionBy(*within) if facet else W.partitionBy(F.lit(0))).orderBy("__first")))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    df = df.join(firsts, same).drop(*(f"__k{i}" for i in range(len(keys))))
     series = W.partitionBy(*facet, z).orderBy("__n")
     before = F.when(F.lag("__n").over(series) == F.col("__n") - 1, F.lag(h).over(series)).otherwise(h)
     df = df.withColumn("__before", before)

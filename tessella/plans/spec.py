@@ -11,13 +11,15 @@ import datetime
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import insights as models
 from ..functions import finite
 from ..operators import bin_by, bin_edges, fill_interval, group_by, normalize, rolling, stack
+from ..insights.derived import only, summaries
+from ..operators.bins import time_interval
 from ..operators.interval import parse_interval
+from ..operators.ordered import with_previous
 from ..sources import field_type
 from .scales import position_scale
 
@@ -43,7 +45,8 @@ def format_value(v) -> str:
 def is_monotonic(df: DataFrame, value: str, order: str) -> bool:
     """Whether finite values never change direction in the given order."""
     v = F.unix_micros(value).cast("double") if dict(df.dtypes)[value].startswith("timestamp") else finite(value)
-    steps = df.select(order, v.alias("v")).filter("v IS NOT NULL").select(F.signum(F.col("v") - F.lag("v").over(W.orderBy(order))).alias("s"))
+    rows = df.select(order, v.alias("v")).filter("v IS NOT NULL")
+    steps = with_previous(rows, order, F.col("v")).select(F.signum(F.col("v") - F.col("previous")).alias("s"))
     r = steps.agg(F.max("s").alias("hi"), F.min("s").alias("lo")).first()
     return r.hi is None or not (r.hi > 0 and r.lo < 0)
 
@@ -103,9 +106,46 @@ class Chart:
         kind = self.spec["mark"].removesuffix("X").removesuffix("Y")
         return {"series": [{"type": {"dot": "scatter", "area": "line", "rect": "bar"}.get(kind, kind), "name": name, "data": data} for name, data in groups.items()], "xAxis": self.scales.get("x"), "yAxis": self.scales.get("y"), "warnings": self.warnings}
 
-    def describe(self) -> dict[str, list[dict]]:
-        """Rows of each insight (small tables)."""
-        return {k: [r.asDict() for r in df.limit(1000).collect()] for k, df in self.insights.items()}
+    def describe(self, limit: int = 1000) -> dict[str, list[dict]]:
+        """Rows of each insight; more than ``limit`` of one are an error."""
+        out = {}
+        for k, df in self.insights.items():
+            rows = df.limit(limit + 1).collect()
+            if len(rows) > limit:
+                raise ValueError(f"insight {k} has more than {limit} rows")
+            out[k] = [r.asDict() for r in rows]
+        return out
+
+    def summaries(self) -> dict[str, str]:
+        """One line of text for each insight."""
+        return summaries(self.insights)
+
+
+def layers(charts: dict[str, Chart]) -> DataFrame:
+    """The rows of several marks of one plot, by ``layer``; columns that a mark lacks are null."""
+    out = None
+    for name, chart in charts.items():
+        part = chart.data.withColumn("layer", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def replicate(df: DataFrame, facets_of: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a mark without these facets, once in every facet of another's (a small domain)."""
+    missing = [k for k in keys if k not in df.columns]
+    return df.crossJoin(F.broadcast(facets_of.select(*missing).distinct())) if missing else df
+
+
+def guess_spec(df: DataFrame) -> dict:
+    """The first time as x, the first number as y, and a string of at most 24 values as color."""
+    kinds = {name: field_type(kind) for name, kind in df.dtypes}
+    found = {"x": next((n for n, k in kinds.items() if k == "temporal"), None)}
+    found["y"] = next((n for n, k in kinds.items() if k == "quantitative"), None)
+    for name in (n for n, k in kinds.items() if k == "ordinal"):
+        if df.select(name).distinct().limit(25).count() <= 24:
+            found["color"] = name
+            break
+    return {k: v for k, v in found.items() if v}
 
 
 def plot(df: DataFrame, spec: dict, order: str | None = None) -> Chart:
@@ -125,7 +165,7 @@ def plot(df: DataFrame, spec: dict, order: str | None = None) -> Chart:
             df = bin_by(df, x, bin_edges(df, x, spec.get("bins", "auto")), out, by, order)
             x = "x"
         elif x and field_type(kind[x]) == "temporal":
-            step = parse_interval(spec.get("interval") or "month")
+            step = parse_interval(spec["interval"]) if spec.get("interval") else time_interval(df, x, spec.get("bins") if isinstance(spec.get("bins"), int) else None)
             df = group_by(df.withColumn(x, step.floor(F.col(x))), [*by, x], out, order)
         else:
             df = group_by(df, [*by, *([x] if x else [])], out, order)
@@ -142,7 +182,7 @@ def plot(df: DataFrame, spec: dict, order: str | None = None) -> Chart:
             warnings.append(f"{name} needs a series mark")
             continue
         options = {} if options is True else dict(options)
-        series = df.filter(F.col(x).isNotNull())
+        series = only(df, options.pop("target", None)).filter(F.col(x).isNotNull())
         keys = by or ["__all"]
         series = series if by else series.withColumn("__all", F.lit(1))
         if name == "trend":
@@ -159,7 +199,10 @@ def plot(df: DataFrame, spec: dict, order: str | None = None) -> Chart:
         else:
             warnings.append(f"no insight {name} here")
     if spec["mark"] in STACKED and z and x and y and spec.get("stack", True) is not False:
-        df = stack(df.withColumn("__row", F.col(z)), x, y, z, "__row", [c for c in by if c != z], **(spec["stack"] if isinstance(spec.get("stack"), dict) else {})).drop("__row") if y != "y" else df
+        names = {c: f"__own_{c}" for c in ("y", "y1", "y2") if c in df.columns}  # the stack's columns go beside the caller's
+        at = {c: names.get(c, c) for c in (x, y, z, *by)}
+        stacked = stack(df.withColumnsRenamed(names).withColumn("__row", F.col(at[z])), at[x], at[y], at[z], "__row", [at[c] for c in by if c != z], **(spec["stack"] if isinstance(spec.get("stack"), dict) else {}))
+        df = stacked.drop("__row", *([] if "y" not in names else ["y"])).withColumnsRenamed({names[c]: c if c == "y" else f"{c}_own" for c in names})
     scales = {name: position_scale([(df, c)], spec["zero"] and name == ("x" if spec["mark"].endswith("X") else "y")) for name, c in (("x", x), ("y", y)) if c and c in df.columns}
     return Chart(spec, df, found, scales, warnings)
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from . import insights as I
 from . import operators as O
+from .insights.derived import future_x, highlight
+from .operators.bins import time_interval
+from .operators.group import keep_empty, pearson
 from .operators.interval import parse_interval
+from .operators.ordered import encode, with_previous
 from .plans import plot
 from .session import table
 
@@ -454,3 +458,56 @@ for _name, _sql in (("median", "quantile_cont(p_retailprice, 0.5)"), ("distinct"
         return O.cumulative_reduce(df, ["p_brand"], "p_retailprice", "p_size", O.bin_edges(df, "p_size", list(range(0, 61, 10))), how).withColumn("y", F.round("y", 4))
 
     query(f"bin_cumulative_{_name}", f"SELECT b.p_brand, b.x1, round({_sql}, 4) AS y FROM (SELECT DISTINCT p_brand, (floor(p_size / 10.0) * 10)::DOUBLE AS x1 FROM part) b JOIN part p ON p.p_brand = b.p_brand AND floor(p_size / 10.0) * 10 <= b.x1 GROUP BY 1, 2")(_cumulative_values)
+
+
+@query("encode_first_appearance", "WITH f AS (SELECT o_orderpriority AS k, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY 1) SELECT o_orderkey, code::INT AS code FROM orders JOIN f ON o_orderpriority = k")
+def _(spark, d):
+    return encode(table(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "code")
+
+
+@query("pearson", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(pearson("l_quantity", "l_extendedprice").alias("r")), "r")
+
+
+@query("bin_keep_all_bins", "WITH g AS (SELECT i * 10 AS x1, s.p_brand FROM generate_series(0, 9) t(i), (SELECT DISTINCT p_brand FROM part) s), c AS (SELECT least(floor(p_size / 10), 9) * 10 AS x1, p_brand, count(*) AS n FROM part WHERE p_size BETWEEN 0 AND 100 GROUP BY 1, 2) SELECT g.x1::DOUBLE AS x1, (g.x1 + 10)::DOUBLE AS x2, (g.x1 + 5)::DOUBLE AS x, g.p_brand, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.x1 = c.x1 AND g.p_brand = c.p_brand")
+def _(spark, d):
+    bins = O.Bins(tuple(float(i * 10) for i in range(11)))
+    return keep_empty(O.bin_by(table(spark, d, "part"), "p_size", bins, {"n": ("count", None)}, ["p_brand"]), bins, ["p_brand"], {"n": 0})
+
+
+@query("bin_time_automatic", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS x, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(time_interval(o, "o_orderdate", 80).floor(F.col("o_orderdate")).alias("x")).agg(F.count("*").alias("n"))
+
+
+@query("previous_value", "SELECT event_id, round(value - lag(value) OVER (ORDER BY event_id), 6) AS change FROM events")
+def _(spark, d):
+    e = with_previous(table(spark, d, "events"), "event_id", F.col("value"), rows=1000)
+    return rounded(e.select("event_id", (F.col("value") - F.col("previous")).alias("change")), "change")
+
+
+@query("median_step", "WITH g AS (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM (SELECT DISTINCT o_totalprice AS x FROM orders)), r AS (SELECT gap, row_number() OVER (ORDER BY gap) AS i, count(*) OVER () AS n FROM g WHERE gap > 0) SELECT round(gap, 6) AS step FROM r WHERE i = n // 2 + 1")
+def _(spark, d):
+    step = O.interval.median_step(table(spark, d, "orders").select(F.col("o_totalprice").alias("x")).distinct(), "x")
+    return rounded(spark.createDataFrame([(step,)], "step double"), "step")
+
+
+@query("forecast_future_x", DAILY + " SELECT z, step, max(x) + INTERVAL (step) DAY AS x FROM s, (SELECT unnest(generate_series(1, 3))::INT AS step) GROUP BY z, step")
+def _(spark, d):
+    s = daily(spark, d)
+    return future_x(s, "x", I.forecast(s, "y", ["z"], "x", horizon=3, method="naive"), ["z"]).select("z", "step", "x")
+
+
+@query("highlight_anomalies", DAILY + ", q AS (SELECT z, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM s GROUP BY 1) SELECT x, s.z, round(y, 4) AS y, (y < a - 1.5 * (b - a) OR y > b + 1.5 * (b - a)) AS highlight FROM s JOIN q ON s.z = q.z")
+def _(spark, d):
+    s = daily(spark, d)
+    return highlight(s, I.anomalies(s, "y", ["z"], "x", method="iqr"), ["z", "x"]).select("x", "z", F.round("y", 4).alias("y"), "highlight")
+
+
+@query("stack_wiggle_whole", "WITH s AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS x, o_orderstatus AS z, round(sum(o_totalprice)) AS v FROM orders GROUP BY 1, 2), f AS (SELECT *, dense_rank() OVER (ORDER BY x) AS n FROM s), b AS (SELECT *, CASE WHEN lag(n) OVER (PARTITION BY z ORDER BY n) = n - 1 THEN lag(v) OVER (PARTITION BY z ORDER BY n) ELSE v END AS p FROM f), m AS (SELECT *, coalesce(sum(v - p) OVER (PARTITION BY x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b), t AS (SELECT n, CASE WHEN n > 1 THEN -sum((below + (v - p) / 2) * v) / sum(v) ELSE 0 END AS step FROM m GROUP BY n), k AS (SELECT n, sum(step) OVER (ORDER BY n) AS shift FROM t) SELECT x, z, round(shift + sum(v) OVER (PARTITION BY x ORDER BY z), 3) AS y2 FROM f JOIN k ON f.n = k.n")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    s = o.groupBy(F.date_trunc("month", "o_orderdate").alias("x"), F.col("o_orderstatus").alias("z")).agg(F.round(F.sum("o_totalprice")).alias("v")).withColumn("row", F.struct("x", "z"))
+    return O.stack(s, "x", "v", "z", "row", offset="wiggle").select("x", "z", F.round("y2", 3).alias("y2"))

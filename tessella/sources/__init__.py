@@ -31,7 +31,7 @@ def inspect_fields(df: DataFrame, most: int = 50) -> list[dict]:
     for name, kind in df.dtypes:
         found = {"name": name, "type": field_type(kind)}
         if found["type"] == "ordinal":
-            found["values"] = sorted((r[0] for r in df.select(name).distinct().dropna().limit(most).collect()), key=str)
+            found["values"] = [r[0] for r in df.select(name).distinct().dropna().orderBy(name).limit(most).collect()]
         out.append(found)
     return out
 
