@@ -4,10 +4,10 @@ Features are trigrams of lower-case code points around a letter (anything else
 counts as one boundary mark), hashed into ``2**HASH_BITS`` buckets, so the model
 is bounded by that number of buckets for each label. Counts come from every
 labelled training document. For a document, expectation-maximisation estimates
-the proportions of the languages from the likelihoods of its trigrams; then the
-likelihoods of the nested sets of its most probable languages, less a penalty
-for each further language, select the set, and the largest share in it is the
-prediction.
+the proportions of the languages from the likelihoods of its trigrams, until they
+settle; then the likelihoods of the nested sets of its most probable languages,
+less a penalty for each further language, select the set (sets grow until that
+falls), and the largest share in it is the prediction.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import batches_of, broadcast, chunks, code_points
+from .text import CHUNK_BYTES, batches_of, broadcast, chunks, code_points
 
 HASH_BITS = 15
 BUCKETS = 1 << HASH_BITS
@@ -91,9 +91,9 @@ def count(docs: DataFrame) -> DataFrame:
 class Mixture:
     names: list[str]
     p: np.ndarray  # buckets x languages
-    steps: int = 6
-    most: int = 4
     penalty: float = 6.0
+    settled: float = 0.01  # largest change of a share in the last step
+    steps: int = 200
 
     def predict(self, f: Features, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Order of the languages by share, and shares in the selected set (0 outside of it), for documents with letters."""
@@ -102,29 +102,49 @@ class Mixture:
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         like, n = self.p[f.bucket], f.count.astype(np.float32)
         total = np.add.reduceat(n, starts)[:, None]
-        share = np.full((len(some), len(self.names)), 1 / len(self.names), np.float32)
-        for _ in range(self.steps):
-            share = self._step(share, like, n, row, starts, total)
-        order = np.argsort(-share, axis=1, kind="stable")
-        rank = np.argsort(order, axis=1)
-        best, chosen = None, share
-        for k in range(1, min(self.most, len(self.names)) + 1):
-            s = np.where(rank < k, share, 0)
+        share = self._settle(np.full((len(some), len(self.names)), 1 / len(self.names), np.float32), like, n, row, total)
+        rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+        best, chosen, growing = None, share, np.ones(len(some), bool)
+        for k in range(1, len(self.names) + 1):
+            own = np.flatnonzero(growing)
+            part = growing[row]
+            at = np.cumsum(growing)[row[part]] - 1
+            s = np.where(rank[own] < k, share[own], 0)
             s /= s.sum(1, keepdims=True)
             if k > 1:
-                s = self._step(s, like, n, row, starts, total)
-            value = np.add.reduceat(n * np.log((s[row] * like).sum(1)), starts) - self.penalty * (k - 1) * np.log(total[:, 0] + 1)
+                s = self._settle(s, like[part], n[part], at, total[own])
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            value = np.add.reduceat(n[part] * np.log((s[at] * like[part]).sum(1)), first) - self.penalty * (k - 1) * np.log(total[own, 0] + 1)
             if best is None:
                 best, chosen = value, s
-            else:
-                better = value > best
-                best, chosen = np.where(better, value, best), np.where(better[:, None], s, chosen)
+                continue
+            better = value > best[own]
+            best[own[better]], chosen[own[better]] = value[better], s[better]
+            growing[own[~better]] = False
+            if not growing.any():
+                break
         out = np.zeros((n_docs, len(self.names)), np.float32)
         out[some] = chosen
         ranks = np.zeros((n_docs, len(self.names)), np.int64)
         ranks[some] = np.argsort(-chosen, axis=1, kind="stable")
         return ranks, out
 
+    def _settle(self, share, like, n, row, total):
+        """Steps of expectation and maximisation for each document until its shares settle; what others do doesn't matter."""
+        share, live = share.copy(), np.arange(len(share))
+        for _ in range(self.steps):
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            new = self._step(share[live], like, n, row, starts, total)
+            moving = np.abs(new - share[live]).max(1) >= self.settled
+            share[live] = new
+            if not moving.any():
+                break
+            if moving.mean() < 0.8:
+                part = moving[row]
+                live, total = live[moving], total[moving]
+                like, n, row = like[part], n[part], np.cumsum(moving)[row[part]] - 1
+        return share
+
     @staticmethod
     def _step(share, like, n, row, starts, total):
         r = share[row] * like
@@ -149,7 +169,7 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", 4 * CHUNK_BYTES // max(4, len(m.names))):
             f, n = features(part["text"]), len(part["text"])
             known = f.has_letter & bool(m.names)
             if known.any():
@@ -187,7 +207,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents (all columns) whose prediction isn't ``und`` and has a share of ``least`` or more."""
+    """Documents (all columns) whose prediction isn't ``und`` and has a share of ``least`` or more.
+
+    Null, empty and letterless texts go; without any label all go; repeated rows
+    are judged alike; an empty table gives none; extra columns are kept whatever
+    their names.
+    """
     model = fit(docs.filter(fold() != 2).select("lang", "text"))
     sent = broadcast(docs.sparkSession, model, model.p.nbytes, MODEL_BYTES)
 
@@ -195,7 +220,7 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
         m = sent.value
         for batch in batches:
             keep = []
-            for part in chunks([batch], "text"):
+            for part in chunks([batch], "text", 4 * CHUNK_BYTES // max(4, len(m.names))):
                 f, n = features(part["text"]), len(part["text"])
                 known = f.has_letter & bool(m.names)
                 if known.any():

@@ -163,6 +163,42 @@ def test_language_on_held_out(spark, corpus):
     assert sorted(next(r for r in language.identify(mixed).collect() if r.doc_id == 2000).langs) == ["en", "fr"]
 
 
+def test_mixture_against_brute_force():
+    rng = np.random.default_rng(5)
+    names = [f"l{i}" for i in range(7)]
+    p = rng.dirichlet(np.full(language.BUCKETS, 0.002), 7).T.astype(np.float32) + np.float32(1e-8)
+    model = language.Mixture(names, p)
+    docs = [[1.0], [0.5, 0.5], [0.4, 0.12, 0.12, 0.12, 0.12, 0.12], [0.7, 0.3]]
+    rows = []
+    for d, weights in enumerate(docs):
+        mixed = (p[:, : len(weights)] * weights).sum(1)
+        got = np.unique(rng.choice(language.BUCKETS, 4000, p=mixed / mixed.sum()), return_counts=True)
+        rows += [(d, b, c) for b, c in zip(*got, strict=True)]
+    doc, bucket, count = map(np.array, zip(*rows, strict=True))
+    _, share = model.predict(language.Features(doc, bucket, count, np.ones(4, bool)), 4)
+
+    def em(like, n, s, steps=400):
+        for _ in range(steps):
+            r = like * s
+            s = (n[:, None] * r / r.sum(1, keepdims=True)).sum(0) / n.sum()
+        return s
+
+    for d, weights in enumerate(docs):
+        own = doc == d
+        like, n = p[bucket[own]].astype(float), count[own]
+        order = np.argsort(-em(like, n, np.full(7, 1 / 7)))
+        values = []
+        for k in range(1, 8):
+            s = np.zeros(7)
+            s[order[:k]] = 1 / k
+            s = em(like, n, s)
+            values.append(((n * np.log((like * s).sum(1))).sum() - 6 * (k - 1) * np.log(n.sum() + 1), s))
+        want = max(values, key=lambda x: x[0])[1]
+        assert (share[d] > 0.01).sum() == len(weights) and np.abs(share[d] - want).max() < 0.06
+    alone = doc == 2
+    assert np.array_equal(model.predict(language.Features(doc[alone] * 0, bucket[alone], count[alone], np.ones(1, bool)), 1)[1][0], share[2])
+
+
 def test_near_duplicates(spark, corpus):
     got = {r.doc_id: r.class_id for r in near.classes(corpus).collect()}
     assert got[100] == 1 and got[101] == 2 and got[102] == 102
