@@ -257,11 +257,13 @@ def dedup(docs: DataFrame, most: int = MOST, shard_words: int = SHARD_WORDS) ->
     windows = contexts.join(hot, "h", "left_semi").mapInArrow(_window_rows, "h long, ctx long, doc_id long, i int, window long")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
     exact = windows.join(first, "window").groupBy("h", "ctx").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("x")).select("h", "ctx", F.col("x.least").alias("least"))
-    least = store(least.unionByName(exact))
-    members = found.join(classes.select("h", "ctx", F.col("rep.doc_id").alias("rep"), "n_ctx"), ["h", "ctx"]).filter("n_ctx > 1 OR doc_id > rep")
+    least = least.unionByName(exact)
+    # one join for the many members of a context, so that adaptive execution can split a hot one
+    known = store(classes.select("h", "ctx", F.col("rep.doc_id").alias("rep"), "n_ctx").join(least, ["h", "ctx"], "left"))
+    members = found.join(known, ["h", "ctx"]).filter("n_ctx > 1 OR doc_id > rep")
     # a bit for each window of the context that starts in a smaller document; without a list all do
     bits = F.expr("aggregate(transform(least, (x, i) -> if(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    hits = members.join(least, ["h", "ctx"], "left").select("doc_id", "th", "at", F.coalesce(bits, F.lit(-1)).alias("mask")).filter("mask <> 0")
+    hits = members.select("doc_id", "th", "at", F.coalesce(bits, F.lit(-1)).alias("mask")).filter("mask <> 0")
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))  # at most a document's anchors
     marked = whole.join(hits, ["doc_id", "th"]).select("doc_id", "th", "text", "hits.at", "hits.mask")
     changed = marked.mapInArrow(_digests, _DIGEST).filter("n_removed > 0").dropDuplicates(["doc_id", "th"])
