@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language, licenses, lines, mixing, near, pages, perplexity, scoring, substrings
 
@@ -127,6 +128,14 @@ def test_lm_score(spark, corpus):
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(ts), sum(count[t] > 0 for t in ts), n) and x.score < 0
 
 
+def test_lm_trains_on_whole_texts_and_the_same_on_every_run(spark):
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate([*texts(5), "long " * 9000])])
+    assert scoring.sample(docs, 6) == sorted(r.text for r in docs.collect())
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text"))
+    got = scoring.sample(many, 20_000)
+    assert 1300 < len(got) < 1700 and got == scoring.sample(many.repartition(7), 20_000)
+
+
 def test_attention_scores_each_token_once_as_by_hand():
     model, within = scoring.train(texts(20), steps=20)
     sub = scoring.Subwords(scoring.VOCABULARY, within)
