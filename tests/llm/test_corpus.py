@@ -406,6 +406,17 @@ def test_licenses_are_inherited(spark):
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "r"), 3: ("Apache-2.0", "own", None), 4: (None, None, None)}
 
 
+def test_whole_license_files_are_inherited(spark):
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.WHOLE):
+        rows += [(10 * i, f"p{i}/LICENSE", f"Copyright (c) 2020 Somebody of Somewhere\n\n{text}\n"), (10 * i + 1, f"p{i}/src/deep/a.py", "def a():\n    return 1")]
+        want |= {10 * i: (name, "own"), 10 * i + 1: (name, "inherited")}
+    rows += [(900, "q/a.c", "// SPDX-License-Identifier: ISC\n" + "x = y + z;\n" * 30), (901, "q/b.c", "nothing"), (902, None, None)]
+    want |= {900: ("ISC", "own"), 901: (None, None), 902: (None, None)}
+    got = {r.doc_id: (r.license, r.via) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a href=x>Home {i}</a></nav><div class='sidebar'>ad</div><article><h1>Title {i}</h1><p>One &amp; <b>two</b>\n {i}<br>three<p>Next {i}</article><div id=comments>nice</div><footer>f</footer></body></html>"
 
 
