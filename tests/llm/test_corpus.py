@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,60 @@ def test_lm_trains_on_whole_texts_and_the_same_on_every_run(spark):
     assert 1300 < len(got) < 1700 and got == scoring.sample(many.repartition(7), 20_000)
 
 
+def test_lm_counts_every_document(spark, corpus, monkeypatch):
+    whole = [r.text for r in corpus.select("text").collect()]
+    brute = scoring.Counts((kind, *t.total()) for kind, t in list(scoring.counted([pa.record_batch({"text": pa.array(whole)})], scoring.VOCABULARY))[-5:])
+    for held in (scoring.HELD, 64):  # sent on at once, or piece by piece
+        monkeypatch.setattr(scoring, "HELD", held)
+        stored = scoring.StoredCounts(scoring.count(corpus))
+        for kind in range(5):
+            assert stored.total(kind) == brute.total(kind)
+            for to in (None, lambda keys, n: (keys % 7, n)):
+                assert all(np.array_equal(a, b) for a, b in zip(stored.of(kind, to, 2), brute.of(kind, to, 2), strict=True))
+    words_ = collections.Counter(w for t in whole for w in words(t.lower()))
+    assert sorted(brute.of(scoring.WORDS)[1]) == sorted(words_.values())
+    sub = scoring.Subwords(scoring.VOCABULARY)
+    ids = [[i for w in t.lower().split() for i in sub.encoding.encode_ordinary(" " + w)] for t in whole]
+    pairs = collections.Counter(p for x in ids for p in zip([sub.end, *x], [*x, sub.end], strict=True))
+    keys, n = brute.of(scoring.NEXT)
+    assert {(k // (sub.end + 1), k % (sub.end + 1)): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)} == pairs
+
+
+def test_within_adds_up_to_one_with_runs_left_out(monkeypatch):
+    _, whole = scoring.train(texts(30), steps=1)
+    seen = whole.levels[0][0] // len(whole.group) - 1  # ids that others follow
+    for kept in (scoring.KEPT, 400):
+        monkeypatch.setattr(scoring, "KEPT", kept)
+        _, within = scoring.train(texts(30), steps=1)
+        for before in ([seen[0]], [seen[-1], seen[0]], []):
+            for c in (0, 5):
+                own = np.flatnonzero(within.group == c)
+                ids = np.hstack([np.tile(before, (len(own), 1)), own[:, None]]).astype(np.int32)
+                p = np.exp(within.logp(ids.ravel(), np.full(len(own), ids.shape[1])).reshape(ids.shape)[:, -1].astype(float))
+                assert math.isclose(p.sum(), 1, rel_tol=1e-3)
+
+
+def test_every_partition_trains_the_layer(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TRAIN_SHARE", 1)
+    monkeypatch.setattr(scoring, "TRAIN_RATE", 0.01)
+    start, _ = scoring.train(texts(5), steps=5)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts(30))]
+    parts = [rows[:3], rows[3:10], rows[10:]]
+    spread = lambda parts: spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), SCHEMA)
+    docs = spread(parts)
+    got = scoring.trained_on(docs, start)
+    alone = [scoring.trained_on(spread([part]), start) for part in parts]
+    encode = scoring.Subwords(scoring.VOCABULARY).encoding.encode_ordinary
+    weigh = [sum(-(-(len(encode(" " + r[1])) + 1) // scoring.BLOCK) for r in part) for part in parts]
+    for name in scoring.Descent.names:
+        assert np.allclose(getattr(got, name), np.average([getattr(m, name) for m in alone], axis=0, weights=weigh), atol=1e-4), name
+    w = scoring.Words(texts(10, 8), lower=True)
+    ids, sizes, _, logp = scoring.Subwords(scoring.VOCABULARY).stream(w, w.hashes())
+    zero = np.zeros(len(ids), np.float32)
+    assert got.score(ids, sizes, zero).sum() > start.score(ids, sizes, zero).sum()
+    assert scoring.trained_on(docs.limit(0), start) is start
+
+
 def test_attention_scores_each_token_once_as_by_hand():
     model, within = scoring.train(texts(20), steps=20)
     sub = scoring.Subwords(scoring.VOCABULARY, within)
