@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, and on odd inputs."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -96,6 +97,17 @@ def test_kneser_ney_against_brute_force(spark):
         assert math.isclose(perplexity.mean_scores(model, ["x y", t])[1], np.mean(want), abs_tol=1e-4)
 
 
+def test_rare_ngrams_count_in_every_perplexity(spark):
+    docs = [*texts(4, words=60), "a b " * 200_000, "漢字#漢字 😀", "ü" * 60, "once Ж"]  # so long that an n-gram seen once has less than 1/HOT of all
+    rows = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(docs)])
+    p = functools.cache(kneser_ney_by_brute_force(docs))
+    got = [{r.doc_id: r.perplexity for r in perplexity.quality_rules(rows, **x).collect()} for x in ({}, {"hot": 60}, {"hot": 1})]
+    assert got[0] == got[1] == got[2]  # broadcast or joined
+    for i, t in enumerate(docs):
+        c = [0] * 3 + [int(x) for x in perplexity.codes(t)]
+        assert math.isclose(math.log10(got[0][i]), -np.mean([math.log10(p(tuple(c[k : k + 4]))) for k in range(len(t))]), abs_tol=1e-6)
+
+
 def test_pruned_model_still_sums_to_one(spark):
     docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts(6))])
     whole, pruned = perplexity.fit(docs)["en"], perplexity.fit(docs, hot=60)["en"]
