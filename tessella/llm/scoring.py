@@ -5,10 +5,10 @@ the product over its subwords of p(class | context) * p(subword | class):
 
 * p(class | context) comes from one attention layer over the preceding 16 to 31
   subwords plus a term for the last subword. The term starts from the counts of all
-  training documents. The layer begins with gradient descent on about
-  ``SAMPLE_DOCS`` whole training documents, then goes on in every partition, over
-  whole documents that are one in ``TRAIN_SHARE`` of all, so that what it learns
-  from grows with the input; the partitions' results are averaged by their windows.
+  training documents. The layer gets its starting point, the same for all partitions,
+  by gradient descent on about ``SAMPLE_DOCS`` whole training documents; then each
+  partition trains it on all of its training documents, whole, and the partitions'
+  results are averaged by their windows.
 * p(subword | class, subwords before it in its word) comes from counts of all
   training documents, interpolated from two preceding subwords down to none; it
   depends on the word alone, so it is looked up once for each new word of a task.
@@ -48,10 +48,12 @@ CLASSES = 48
 WIDTH = 12
 SYMBOLS = 1024
 SAMPLE_DOCS = 1500
-TRAIN_SHARE = 32
+#: One in so many training documents trains the layer, that is all; nothing but a test reads it.
+TRAIN_SHARE = 1
 TRAIN_RATE = 0.002
-#: Blocks of a step.
+#: Blocks of a step: towards the starting point, and in the partitions.
 STEP = 129
+TRAIN_STEP = 256
 KEPT = 1 << 20
 MODEL_BYTES = 128 << 20
 #: Counted entries that a task holds before it sends them on.
@@ -364,44 +366,80 @@ def _blocks(m: Attention, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
 
 
 class Descent:
-    """Adam on the attention layer ``m``, which it changes in place."""
+    """Adam on the attention layer ``m``, which it changes in place; the tables by symbol become columns of one."""
 
     names = ("last", "q", "k", "v", "out", "near")
 
     def __init__(self, m: Attention):
         self.m, self.step = m, 0
-        self.first, self.second = ({n: np.zeros_like(getattr(m, n)) for n in self.names} for _ in range(2))
+        self.table = np.hstack([m.last, m.q, m.k, m.v])
+        m.last, m.q, m.k, m.v = np.split(self.table, [CLASSES, CLASSES + WIDTH, CLASSES + 2 * WIDTH], axis=1)
+        self.values = (self.table, m.out, m.near)
+        self.first, self.second = ([np.zeros_like(x) for x in self.values] for _ in range(2))
         self.distance = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK), 0, 2 * BLOCK - 1)
 
-    def on(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray, rate: float) -> None:
-        """One step on consecutive blocks; the first sees none in front."""
-        m, self.step, fresh = self.m, self.step + 1, fresh.copy()
+    def gradient(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean loss on consecutive blocks, by the table, ``out`` and ``near``; the first block sees none in front."""
+        m, fresh, flat = self.m, fresh.copy(), sym.ravel()
         fresh[0] = True
-        q, k2, v2, a, o = m.attend(sym, fresh)
-        z = m.last[sym] + o @ m.out
-        z -= z.max(-1, keepdims=True)
+        rows = self.table.take(flat, axis=0)
+        z = rows[:, :CLASSES].copy()
+        q = rows[:, CLASSES : CLASSES + WIDTH].reshape(-1, BLOCK, WIDTH)
+        kv = rows[:, CLASSES + WIDTH :].reshape(-1, BLOCK, 2 * WIDTH)
+        kv2 = np.concatenate([np.roll(kv, 1, axis=0), kv], axis=1)
+        k2, v2 = kv2[:, :, :WIDTH], kv2[:, :, WIDTH:]
+        a = q @ k2.transpose(0, 2, 1)
+        a += m.mask()
+        a[fresh, :, :BLOCK] = -1e9
+        if np.abs(m.near).max() + np.sqrt((m.q**2).sum(1).max() * (m.k**2).sum(1).max()) > 60:  # else exp can't overflow
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a @ np.ones((2 * BLOCK, 1), np.float32)
+        o = (a @ v2).reshape(-1, WIDTH)
+        z += o @ m.out
+        if np.abs(m.last).max() + np.abs(m.v).max() * np.abs(m.out).sum(0).max() > 60:
+            z -= z.max(-1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
-        live = target >= 0
-        z[live, target[live]] -= 1
-        z[~live] = 0
-        z /= live.sum()
+        target = target.ravel()
+        live = np.flatnonzero(target >= 0)
+        weight = np.zeros((len(z), 1), np.float32)
+        weight[live] = 1 / np.float32(len(live))
+        z *= weight / (z @ np.ones((CLASSES, 1), np.float32))
+        z[live, target[live]] -= weight[live, 0]
         do = z @ m.out.T
-        da = do @ v2.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dv2, dk2, dq = a.transpose(0, 2, 1) @ do, ds.transpose(0, 2, 1) @ q, ds @ k2
-        grad = {"out": np.einsum("bid,bic->dc", o, z), "near": np.bincount(self.distance.ravel(), ds.sum(0).ravel(), 2 * BLOCK)}
-        fold_back = lambda g: g[:, BLOCK:] + np.roll(g[:, :BLOCK], -1, axis=0)
-        one = np.zeros((SYMBOLS, sym.size), np.float32)
-        one[sym.ravel(), np.arange(sym.size)] = 1
-        for name, g in (("last", z), ("q", dq), ("k", fold_back(dk2)), ("v", fold_back(dv2))):
-            grad[name] = one @ g.reshape(sym.size, -1)
-        for name in self.names:
-            g, first, second = grad[name], self.first[name], self.second[name]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            change = rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)
-            getattr(m, name)[...] -= change.astype(np.float32)
+        own = (do * o).sum(1).reshape(-1, BLOCK, 1)  # what all keys of a query have in common
+        do = do.reshape(-1, BLOCK, WIDTH)
+        ds = do @ v2.transpose(0, 2, 1)
+        ds -= own
+        ds *= a
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2)
+        back = dkv[:, BLOCK:]
+        back[:-1] += dkv[1:, :BLOCK]
+        grad = np.concatenate([z, (ds @ k2).reshape(-1, WIDTH), back.reshape(-1, 2 * WIDTH)], axis=1)
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        by_symbol = np.zeros_like(self.table)
+        by_symbol[flat[order[starts]]] = np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+        return by_symbol, o.T @ z, np.bincount(self.distance.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
+
+    def on(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray, rate: float) -> None:
+        """One step on consecutive blocks."""
+        self.step += 1
+        scale = np.float32(1 / np.sqrt(1 - 0.99**self.step))
+        rate = np.float32(rate / (1 - 0.9**self.step))
+        for value, g, first, second in zip(self.values, self.gradient(sym, target, fresh), self.first, self.second, strict=True):
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            second *= np.float32(0.99)
+            second += g
+            np.sqrt(second, out=g)
+            g *= scale
+            g += np.float32(1e-8)
+            np.divide(first, g, out=g)
+            g *= rate
+            value -= g
 
 
 def fit(counts: Counts, texts: list[str], path: str = VOCABULARY, steps: int = 400, seed: int = 7) -> tuple[Attention, Within]:
@@ -474,7 +512,7 @@ def _flat(m: Attention) -> np.ndarray:
 
 
 def trained_on(docs: DataFrame, m: Attention, path: str = VOCABULARY) -> Attention:
-    """The layer after each partition went over its share of the whole texts, averaged by their windows."""
+    """The layer after each partition went over all of its texts, whole, averaged by their windows."""
     shapes = [getattr(m, name).shape for name in Descent.names]
     schema = pa.schema([("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
 
@@ -484,8 +522,9 @@ def trained_on(docs: DataFrame, m: Attention, path: str = VOCABULARY) -> Attenti
         for part in chunks(batches, "text"):
             w = Words(part["text"], lower=True)
             x, t, fresh = _blocks(own, *sub.stream(w, w.hashes())[:2])
-            for i in range(0, len(x), STEP):
-                descent.on(x[i : i + STEP], t[i : i + STEP], fresh[i : i + STEP], TRAIN_RATE)
+            for i in range(0, len(x), TRAIN_STEP):
+                at = slice(i, i + TRAIN_STEP)
+                descent.on(x[at], t[at], fresh[at], TRAIN_RATE)
             seen += len(x)
         if seen:
             from pyspark import TaskContext
@@ -497,8 +536,7 @@ def trained_on(docs: DataFrame, m: Attention, path: str = VOCABULARY) -> Attenti
         return pa.table([table["part"][:1], pa.array([sum(table["weight"].to_pylist())]), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     kinds = "part int, weight double, values binary"
-    chosen = docs.filter((F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(TRAIN_SHARE)) == 0) & F.col("text").isNotNull())
-    got = chosen.select("text").mapInArrow(run, kinds).groupBy("part").applyInArrow(add, kinds).sort("part").collect()
+    got = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(run, kinds).groupBy("part").applyInArrow(add, kinds).sort("part").collect()
     if not got:
         return m
     flat = sum(np.frombuffer(r.values) for r in got) / sum(r.weight for r in got)

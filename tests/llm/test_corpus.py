@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, and on odd inputs."""
 
 import collections
+import dataclasses
 import functools
 import hashlib
 import math
@@ -203,6 +204,44 @@ def test_every_partition_trains_the_layer(spark, monkeypatch):
     assert scoring.trained_on(docs.limit(0), start) is start
 
 
+def test_every_training_document_trains_the_layer(spark):
+    start, _ = scoring.train(texts(5), steps=5)
+    docs = texts(40, 3)
+    got = scoring.trained_on(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*docs, None])], SCHEMA).coalesce(1), start)
+    want = dataclasses.replace(start, **{name: getattr(start, name).copy() for name in scoring.Descent.names})
+    w = scoring.Words(docs, lower=True)
+    x, t, fresh = scoring._blocks(want, *scoring.Subwords(scoring.VOCABULARY).stream(w, w.hashes())[:2])
+    descent = scoring.Descent(want)
+    for i in range(0, len(x), scoring.TRAIN_STEP):
+        at = slice(i, i + scoring.TRAIN_STEP)
+        descent.on(x[at], t[at], fresh[at], scoring.TRAIN_RATE)
+    assert len(x) > scoring.TRAIN_STEP
+    for name in scoring.Descent.names:
+        assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-5), name
+
+
+def test_gradient_by_differences():
+    m, _ = scoring.train(texts(5), steps=5)
+    w = scoring.Words(texts(3, 5), lower=True)
+    x, t, fresh = scoring._blocks(m, *scoring.Subwords(scoring.VOCABULARY).stream(w, w.hashes())[:2])
+
+    def loss():
+        _, _, _, _, o = m.attend(x, fresh)
+        z = m.last[x].astype(float) + o @ m.out
+        return np.mean((np.log(np.exp(z).sum(-1)) - np.take_along_axis(z, np.maximum(t, 0)[..., None], -1)[..., 0])[t >= 0])
+
+    descent = scoring.Descent(m)
+    for value, g in zip(descent.values, descent.gradient(x, t, fresh), strict=True):
+        top = np.unravel_index(np.argsort(-abs(g), axis=None)[:40:5], g.shape)
+        for at in zip(*top, strict=True):
+            old, sides = value[at], []
+            for side in (0.02, -0.02):
+                value[at] = old + side
+                sides.append(loss())
+            value[at] = old
+            assert math.isclose((sides[0] - sides[1]) / 0.04, g[at], rel_tol=0.02, abs_tol=2e-5)
+
+
 def test_attention_scores_each_token_once_as_by_hand():
     model, within = scoring.train(texts(20), steps=20)
     sub = scoring.Subwords(scoring.VOCABULARY, within)
