@@ -61,6 +61,16 @@ HELD = 1 << 20
 #: What is counted: words by hash; subwords; runs of 2 and of 3 subwords in a word; a subword and the next.
 WORDS, IDS, RUN2, RUN3, NEXT = range(5)
 _CACHE: dict = {}
+_BYTES: dict = {}
+
+
+def _as_one(encode: Callable[[str], list[int]], data: bytes, bytes_of: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Subword ids of a text and how many end in each part, whose ends are those of subwords; None if the text isn't valid."""
+    try:
+        ids = np.array(encode(data.decode()), np.int32)
+    except UnicodeDecodeError:
+        return None
+    return ids, np.diff(np.searchsorted(np.cumsum(bytes_of[ids]), ends, side="right"), prepend=0).astype(np.int32)
 
 
 class Subwords:
@@ -75,8 +85,11 @@ class Subwords:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             _CACHE[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _BYTES[path] = np.zeros(max(ranks.values()) + 1, np.int64)
+            _BYTES[path][list(ranks.values())] = list(map(len, ranks))
         self.encoding = _CACHE[path]
         self.end = self.encoding.n_vocab  # its first free id
+        self.bytes_of = _BYTES[path]
         self.limit = limit
         self._reset()
 
@@ -87,25 +100,55 @@ class Subwords:
 
     def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
         """Index of each word among those remembered; ``ids``, ``starts`` and ``sizes`` have their subwords."""
-        values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        values = hashes[order]
+        edge = np.r_[True, values[1:] != values[:-1]][: len(values)]
+        values, first = values[edge], order[edge]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(edge) - 1
         if len(self.keys) > self.limit:
             self._reset()
-        at = np.minimum(np.searchsorted(self.keys, values), max(0, len(self.keys) - 1))
-        new = self.keys[at] != values if len(self.keys) else np.ones(len(values), bool)
+        at = np.searchsorted(self.keys, values)
+        new = self.keys[np.minimum(at, len(self.keys) - 1)] != values if len(self.keys) else np.ones(len(values), bool)
         if new.any():
-            encode = self.encoding._core_bpe.encode_ordinary
-            got = [encode(" " + words.word(i).decode("utf-8", "replace")) for i in first[new]]
-            sizes = np.fromiter(map(len, got), np.int32, len(got))
-            starts = len(self.ids) + np.r_[0, np.cumsum(sizes)[:-1]]
-            keys, places = np.r_[self.keys, values[new]], np.r_[self.at, len(self.sizes) + np.arange(len(got))]
-            ids = np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum()))
+            ids, sizes = self._encode(words, first[new])
+            starts = len(self.ids) + np.cumsum(sizes) - sizes
             self.ids = np.r_[self.ids, ids]
             if self.within is not None:
                 self.logp = np.r_[self.logp, self.within.logp(ids, sizes)]
+            self.keys, self.at = np.insert(self.keys, at[new], values[new]), np.insert(self.at, at[new], len(self.sizes) + np.arange(len(sizes)))
             self.sizes, self.starts = np.r_[self.sizes, sizes], np.r_[self.starts, starts]
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at = keys[order], places[order]
-        return self.at[np.searchsorted(self.keys, values)][inverse]
+            at += np.cumsum(new) - new
+        return self.at[at][inverse]
+
+    def _encode(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of the words, a space before each, and how many each has.
+
+        No piece of PATTERN goes from a word over the next one's space unless the word ends in white space of more than
+        ASCII, so all others are encoded as one text.
+        """
+        starts, ends, buf = words.starts[at], words.ends[at], words.buf
+        last, second, third = (buf[np.maximum(ends - k, starts)] for k in (1, 2, 3))
+        alone = (last < 32) | (second == 0xC2) | (third == 0xE1) | (third == 0xE2) | (third == 0xE3) & (second == 0x80)
+        encode = self.encoding._core_bpe.encode_ordinary
+        sizes = np.zeros(len(at), np.int32)
+        parts = []
+        for own in (np.flatnonzero(~alone), np.flatnonzero(alone)):
+            lengths = ends[own] - starts[own] + 1
+            offsets = np.cumsum(lengths) - lengths
+            data = buf[np.maximum(np.arange(int(lengths.sum())) + np.repeat(starts[own] - 1 - offsets, lengths), 0)]
+            data[offsets] = 32
+            got = _as_one(encode, data.tobytes(), self.bytes_of, offsets + lengths) if not alone[own[:1]].any() else None
+            if got is None:
+                lists = [encode(" " + words.word(i).decode("utf-8", "replace")) for i in at[own]]
+                got = np.fromiter((x for g in lists for x in g), np.int32), np.fromiter(map(len, lists), np.int32, len(lists))
+            parts.append(got[0])
+            sizes[own] = got[1]
+        if not alone.any():
+            return parts[0], sizes
+        out, is_alone = np.empty(int(sizes.sum()), np.int32), np.repeat(alone, sizes)
+        out[~is_alone], out[is_alone] = parts
+        return out, sizes
 
     def stream(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Subword ids of all texts, an end after each; how many each text has; how many each word (or end) has; log p within their class."""
@@ -183,6 +226,14 @@ def _emit(schema: pa.Schema, held: Tally, limit: int, **columns) -> Iterator[pa.
             yield from batches_of(schema, key=keys, n=n, **{c: np.full(len(keys), v, np.int32) for c, v in columns.items()})
 
 
+def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value is, or would be, among sorted keys; looked up in order, which is faster than at random."""
+    order = np.argsort(values)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.minimum(np.searchsorted(keys, values[order]), max(0, len(keys) - 1))
+    return out
+
+
 @dataclass
 class Within:
     """log p(id | its class, the ids before it in its word), interpolated over contexts of 0 to 2 ids."""
@@ -223,7 +274,7 @@ class Within:
             if not len(keys):
                 continue
             pair, key = context * len(self.group) + ids[own], context * CLASSES + self.group[ids[own]]
-            i, j = (np.minimum(np.searchsorted(a, b), len(a) - 1) for a, b in ((pairs, pair), (keys, key)))
+            i, j = _places(pairs, pair), _places(keys, key)
             seen = keys[j] == key
             own, i, j, pair = own[seen], i[seen], j[seen], pair[seen]
             p[own] = (np.where(pairs[i] == pair, n[i], 0) + rest[j] * p[own]) / whole[j]
@@ -292,10 +343,10 @@ class Attention:
         target[place] = self.group[ids]
         table, factor = self.ready()
         one = np.ones(CLASSES, np.float32)
-        for i in range(0, n, 512):
+        for i in range(0, n, 96):
             lo = max(0, i - 1)
-            part = grid[lo : i + 512]
-            new = fresh[lo : i + 512].copy()
+            part = grid[lo : i + 96]
+            new = fresh[lo : i + 96].copy()
             new[0] |= lo == i
             q = table[0].take(part[i - lo :], axis=0)
             kv2 = table[1].take(np.concatenate([np.roll(part, 1, axis=0), part], axis=1)[i - lo :], axis=0)
@@ -366,77 +417,101 @@ def _blocks(m: Attention, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
 
 
 class Descent:
-    """Adam on the attention layer ``m``, which it changes in place; the tables by symbol become columns of one."""
+    """Adam on the attention layer ``m``, which it changes in place; the tables of keys and values become columns of one."""
 
     names = ("last", "q", "k", "v", "out", "near")
 
     def __init__(self, m: Attention):
         self.m, self.step = m, 0
-        self.table = np.hstack([m.last, m.q, m.k, m.v])
-        m.last, m.q, m.k, m.v = np.split(self.table, [CLASSES, CLASSES + WIDTH, CLASSES + 2 * WIDTH], axis=1)
-        self.values = (self.table, m.out, m.near)
+        m.last, m.q = np.ascontiguousarray(m.last), np.ascontiguousarray(m.q)
+        self.keyed = np.hstack([m.k, m.v, np.ones((SYMBOLS, 1), np.float32)])  # the last column sums weights; its gradient is 0
+        m.k, m.v = self.keyed[:, :WIDTH], self.keyed[:, WIDTH : 2 * WIDTH]
+        self.values = (m.last, m.q, self.keyed, m.out, m.near)
         self.first, self.second = ([np.zeros_like(x) for x in self.values] for _ in range(2))
-        self.distance = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK), 0, 2 * BLOCK - 1)
+        distance = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
+        self.distance, self.behind = np.maximum(distance, 0), (distance >= 0).astype(np.float32)
 
     def gradient(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the mean loss on consecutive blocks, by the table, ``out`` and ``near``; the first block sees none in front."""
-        m, fresh, flat = self.m, fresh.copy(), sym.ravel()
+        """Of the mean loss on consecutive blocks, by ``values``; the first block sees none in front."""
+        m, fresh, flat, n = self.m, fresh.copy(), sym.ravel(), sym.size
         fresh[0] = True
-        rows = self.table.take(flat, axis=0)
-        z = rows[:, :CLASSES].copy()
-        q = rows[:, CLASSES : CLASSES + WIDTH].reshape(-1, BLOCK, WIDTH)
-        kv = rows[:, CLASSES + WIDTH :].reshape(-1, BLOCK, 2 * WIDTH)
-        kv2 = np.concatenate([np.roll(kv, 1, axis=0), kv], axis=1)
-        k2, v2 = kv2[:, :, :WIDTH], kv2[:, :, WIDTH:]
-        a = q @ k2.transpose(0, 2, 1)
-        a += m.mask()
-        a[fresh, :, :BLOCK] = -1e9
-        if np.abs(m.near).max() + np.sqrt((m.q**2).sum(1).max() * (m.k**2).sum(1).max()) > 60:  # else exp can't overflow
+        z, dq, dkv = (np.empty((n + 1, x.shape[1]), np.float32) for x in self.values[:3])  # a row of 0 at the end, see _sums
+        for x in (z, dq, dkv):
+            x[n] = 0
+        z = m.last.take(flat, axis=0, out=z[:n], mode="clip")
+        q = m.q.take(sym, axis=0)
+        kv = self.keyed.take(np.concatenate([np.roll(sym, 1, axis=0), sym], axis=1), axis=0)
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        a = q @ k.transpose(0, 2, 1)
+        if np.abs(m.near).max() + np.sqrt(np.einsum("ij,ij->i", m.q, m.q).max() * np.einsum("ij,ij->i", m.k, m.k).max()) > 60:  # else exp can't overflow
+            a += m.mask()
+            a[fresh, :, :BLOCK] = -1e9
             a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a @ np.ones((2 * BLOCK, 1), np.float32)
-        o = (a @ v2).reshape(-1, WIDTH)
+            np.exp(a, out=a)
+        else:
+            np.exp(a, out=a)
+            a *= np.exp(m.near)[self.distance] * self.behind
+            a[fresh, :, :BLOCK] = 0
+        o = (a @ v).reshape(n, WIDTH + 1)
+        total = o[:, WIDTH:]
+        o = o[:, :WIDTH] / total
         z += o @ m.out
-        if np.abs(m.last).max() + np.abs(m.v).max() * np.abs(m.out).sum(0).max() > 60:
+        if max(m.last.max(), -m.last.min()) + np.abs(m.v).max() * np.abs(m.out).sum(0).max() > 60:
             z -= z.max(-1, keepdims=True)
         np.exp(z, out=z)
         target = target.ravel()
         live = np.flatnonzero(target >= 0)
-        weight = np.zeros((len(z), 1), np.float32)
-        weight[live] = 1 / np.float32(len(live))
+        weight = np.zeros((n, 1), np.float32)
+        weight[live] = share = 1 / np.float32(len(live))
         z *= weight / (z @ np.ones((CLASSES, 1), np.float32))
-        z[live, target[live]] -= weight[live, 0]
-        do = z @ m.out.T
-        own = (do * o).sum(1).reshape(-1, BLOCK, 1)  # what all keys of a query have in common
-        do = do.reshape(-1, BLOCK, WIDTH)
-        ds = do @ v2.transpose(0, 2, 1)
-        ds -= own
+        z.ravel()[live * CLASSES + target[live]] -= share
+        do = z @ np.hstack([m.out.T, np.zeros((CLASSES, 1), np.float32)])
+        do /= total
+        do[:, WIDTH] = -np.einsum("ij,ij->i", do[:, :WIDTH], o)  # what all keys of a query have in common
+        do = do.reshape(-1, BLOCK, WIDTH + 1)
+        ds = do @ v.transpose(0, 2, 1)
         ds *= a
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2)
-        back = dkv[:, BLOCK:]
-        back[:-1] += dkv[1:, :BLOCK]
-        grad = np.concatenate([z, (ds @ k2).reshape(-1, WIDTH), back.reshape(-1, 2 * WIDTH)], axis=1)
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        by_symbol = np.zeros_like(self.table)
-        by_symbol[flat[order[starts]]] = np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
-        return by_symbol, o.T @ z, np.bincount(self.distance.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
+        np.matmul(ds, k, out=dq[:n].reshape(q.shape))
+        own = dkv[:n].reshape(-1, BLOCK, 2 * WIDTH + 1)
+        for there, back in ((slice(0, WIDTH), ds.transpose(0, 2, 1) @ q), (slice(WIDTH, None), a.transpose(0, 2, 1) @ do)):
+            back[:-1, BLOCK:] += back[1:, :BLOCK]
+            own[:, :, there] = back[:, BLOCK:]
+        dkv[:, 2 * WIDTH] = 0
+        near = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
+        return *self._sums(flat, z.base, dq, dkv), o.T @ z, near
+
+    @staticmethod
+    def _sums(flat: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
+        """The sum of the rows of each symbol, first in groups of 4 that the last row, all 0, fills up."""
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        sizes = np.bincount(flat, minlength=SYMBOLS)
+        groups = -(-sizes // 4)
+        starts = np.cumsum(groups) - groups
+        at = np.full((int(groups.sum()), 4), len(flat))
+        at.ravel()[np.arange(len(flat)) + np.repeat(4 * starts - np.cumsum(sizes) + sizes, sizes)] = order
+        seen = np.flatnonzero(sizes)
+        columns = at.T.copy()
+        for x in parts:
+            held = x.take(columns[0], axis=0)
+            for column in columns[1:]:
+                held += x.take(column, axis=0)
+            out = np.zeros((SYMBOLS, x.shape[1]), np.float32)
+            out[seen] = np.add.reduceat(held, starts[seen], axis=0)
+            yield out
 
     def on(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray, rate: float) -> None:
         """One step on consecutive blocks."""
         self.step += 1
-        scale = np.float32(1 / np.sqrt(1 - 0.99**self.step))
-        rate = np.float32(rate / (1 - 0.9**self.step))
+        scale = np.sqrt(1 - 0.99**self.step) / np.sqrt(0.01)  # first and second are sums, without the factors of 0.1 and 0.01
+        rate, least = np.float32(rate * scale * 0.1 / (1 - 0.9**self.step)), np.float32(1e-8 * scale)
         for value, g, first, second in zip(self.values, self.gradient(sym, target, fresh), self.first, self.second, strict=True):
             first *= np.float32(0.9)
-            first += np.float32(0.1) * g
+            first += g
             g *= g
-            g *= np.float32(0.01)
             second *= np.float32(0.99)
             second += g
             np.sqrt(second, out=g)
-            g *= scale
-            g += np.float32(1e-8)
+            g += least
             np.divide(first, g, out=g)
             g *= rate
             value -= g
@@ -472,18 +547,45 @@ def fit(counts: Counts, texts: list[str], path: str = VOCABULARY, steps: int = 4
 
 
 def counted(batches, path: str) -> Iterator[tuple[int, Tally]]:
-    """After each chunk of texts, every kind and what is held of its counts."""
+    """After each chunk of texts, every kind and what is held of its counts; all is held at the end.
+
+    What a word holds is counted once for all its occurrences, when the words remembered are dropped.
+    """
     held, sub = [Tally() for _ in range(5)], Subwords(path)
+    seen, n_ids = np.zeros(0, np.int64), sub.end + 1
+
+    def flush():
+        words, sizes, n = np.empty(len(sub.keys), np.uint64), sub.sizes.astype(np.int64), np.zeros(len(sub.keys), np.int64)
+        words[sub.at], n[: len(seen)] = sub.keys, seen
+        of_id = np.repeat(n, sizes)
+        inner = np.ones(len(sub.ids), bool)
+        inner[sub.starts] = False
+        inner = np.flatnonzero(inner)
+        held[WORDS].add(signed(words), n)
+        n = np.bincount(sub.ids, of_id, n_ids).astype(np.int64)
+        held[IDS].add(np.flatnonzero(n), n[n > 0])
+        runs = ((context * n_ids + sub.ids[own], of_id[own]) for own, context in Within._contexts(sub.ids, sizes))
+        after = sub.ids[inner - 1].astype(np.int64) * n_ids + sub.ids[inner], of_id[inner]
+        for kind, (keys, n) in zip((RUN2, RUN3, NEXT), (*runs, after), strict=True):
+            order = np.argsort(keys)
+            held[kind].add(*tally(keys[order], n[order]))
+
     for part in chunks(batches, "text"):
+        if len(sub.keys) > sub.limit:
+            flush()
+            seen = np.zeros(0, np.int64)
         w = Words(part["text"], lower=True)
-        h = w.hashes()
-        ids, _, of_word, _ = sub.stream(w, h)
-        n_ids = sub.end + 1
-        runs = (context * n_ids + ids[own] for own, context in Within._contexts(ids, of_word))
-        after = np.r_[sub.end, ids[:-1]].astype(np.int64) * n_ids + ids
-        for kind, keys in enumerate((signed(h), ids.astype(np.int64), *runs, after)):
-            held[kind].add(*tally(keys))
-            yield kind, held[kind]
+        at = sub.of(w, w.hashes())
+        seen = np.bincount(at, minlength=len(seen)) + np.r_[seen, np.zeros(len(sub.keys) - len(seen), np.int64)] if len(at) else seen
+        first, last = sub.ids[sub.starts], sub.ids[sub.starts + sub.sizes - 1]
+        texts, tails = len(w.n), w.first + w.n
+        held[IDS].add(np.array([sub.end]), np.array([texts]))
+        before = np.insert(last[at], tails, sub.end)  # each word's last subword, or the end, and what comes next
+        behind = np.insert(first[at], tails, sub.end)
+        held[NEXT].add(*tally(np.r_[sub.end, before[:-1]].astype(np.int64) * n_ids + behind))
+        yield from enumerate(held)
+    flush()
+    yield from enumerate(held)
 
 
 def train(texts: list[str], path: str = VOCABULARY, steps: int = 400, seed: int = 7) -> tuple[Attention, Within]:
@@ -587,7 +689,7 @@ def lm_score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             ids, sizes, _, logp = sub.stream(w, h)
             got = m.score(ids, sizes, logp)
             h = signed(h)
-            at = np.minimum(np.searchsorted(key, h), max(0, len(key) - 1))
+            at = _places(key, h)
             is_hot = key[at] == h if len(key) else np.zeros(len(h), bool)
             base = np.bincount(w.doc[is_hot], hot_log[at[is_hot]], k) + end_log
             row = np.asarray(part["row"], np.int64)

@@ -169,6 +169,45 @@ def test_lm_counts_every_document(spark, corpus, monkeypatch):
     assert {(k // (sub.end + 1), k % (sub.end + 1)): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)} == pairs
 
 
+def test_new_words_are_encoded_as_one_text_and_counted_once(monkeypatch):
+    real, calls = scoring.Subwords, []
+
+    class Counting:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real(scoring.VOCABULARY).encoding._core_bpe.encode_ordinary(text)
+
+    def counting(path, within=None, limit=400_000):
+        sub = real(path, within, limit)
+        sub.encoding = type("Encoding", (), {"_core_bpe": Counting()})
+        return sub
+
+    alone = ["b\x1c", "d\x85", "e\xa0", "\u3000", "f\u2009", "\u2028", "“x”"]  # may end in white space that PATTERN knows
+    docs = [*texts(20), "it's 12 1234567 ### a,b é 漢字 \U0001f600 \x00 x\xa0y " + "long" * 900, " x ".join([*alone, "x"]), "", " \n", None]
+    one = real(scoring.VOCABULARY).encoding._core_bpe.encode_ordinary
+    tokens = [[one(" " + x) for x in words(t)] for t in [(t or "").lower() for t in docs]]
+    ids = [[i for word in text for i in word] for text in tokens]
+    sub = counting(scoring.VOCABULARY)
+    w = scoring.Words(docs, lower=True)
+    got, n, of_word, _ = sub.stream(w, w.hashes())
+    assert got.tolist() == [i for text in ids for i in [*text, sub.end]] and n.tolist() == [len(text) + 1 for text in ids]
+    assert of_word.tolist() == [k for text in tokens for k in [*map(len, text), 1]]
+    assert len(calls) == 1 + len([*alone, "\x00"])
+    w = scoring.Words(["x \ud800 y"], lower=True)  # not UTF-8
+    got = counting(scoring.VOCABULARY).stream(w, w.hashes())[0]
+    assert got.tolist() == [*one(" x"), *one(" " + "\ufffd" * 3), *one(" y"), sub.end]
+    for limit in (5, 400_000):  # words are dropped after each batch, or never
+        monkeypatch.setattr(scoring, "Subwords", lambda path, within=None: counting(path, within, limit))
+        calls.clear()
+        batches = pa.table({"text": docs * 3}).to_batches(max_chunksize=10)
+        counts = scoring.Counts((kind, *t.total()) for kind, t in list(scoring.counted(batches, scoring.VOCABULARY))[-5:])
+        keys, c = counts.of(scoring.RUN2)
+        runs = collections.Counter(p for text in tokens for word in text for p in zip(word, word[1:], strict=False))
+        wide = sub.end + 1
+        assert {(k // wide - 1, k % wide): i for k, i in zip(keys.tolist(), c.tolist(), strict=True)} == {k: 3 * i for k, i in runs.items()}
+        assert counts.of(scoring.IDS)[1].sum() == 3 * sum(len(text) + 1 for text in ids)
+
+
 def test_within_adds_up_to_one_with_runs_left_out(monkeypatch):
     _, whole = scoring.train(texts(30), steps=1)
     seen = whole.levels[0][0] // len(whole.group) - 1  # ids that others follow
