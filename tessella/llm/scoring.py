@@ -281,6 +281,11 @@ class Within:
         return np.log(p).astype(np.float32)
 
 
+def _with_front(rows: np.ndarray) -> np.ndarray:
+    """A view of each block of rows but the first, the block in front before it."""
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) // BLOCK - 1, 2 * BLOCK, rows.shape[1]), (rows.strides[0] * BLOCK, *rows.strides))
+
+
 @dataclass
 class Attention:
     """One causal attention layer that gives the probabilities of the next subword's class."""
@@ -320,8 +325,7 @@ class Attention:
         """Queries; keys and values side by side; and the factor of each distance (0 ahead)."""
         top = float(np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max())
         shrink = np.float32(min(1.0, 60.0 / max(top, 1e-9)))  # exp can't overflow
-        ones = np.ones((SYMBOLS, 1), np.float32)  # the values' last column sums the weights
-        return (self.q * shrink, np.hstack([self.k, self.v, ones])), np.exp(self.mask())
+        return (self.q * shrink, np.hstack([self.k, self.v])), np.exp(self.mask())
 
     def score(self, ids: np.ndarray, sizes: np.ndarray, within: np.ndarray) -> np.ndarray:
         """log10 probability of each text; ``ids`` are those of all texts, one after the other, ``within`` their log p within classes."""
@@ -337,6 +341,7 @@ class Attention:
         grid[base * BLOCK] = SYMBOLS - 1  # a text starts from the padding symbol
         fresh = np.zeros(n, bool)
         fresh[base] = True
+        front = np.r_[grid[:BLOCK], grid]  # block i is the one in front of block i of the grid
         grid = grid.reshape(-1, BLOCK)
         got = np.empty(grid.size, np.float32)
         target = np.zeros(grid.size, np.int32)
@@ -344,19 +349,16 @@ class Attention:
         table, factor = self.ready()
         one = np.ones(CLASSES, np.float32)
         for i in range(0, n, 96):
-            lo = max(0, i - 1)
-            part = grid[lo : i + 96]
-            new = fresh[lo : i + 96].copy()
-            new[0] |= lo == i
-            q = table[0].take(part[i - lo :], axis=0)
-            kv2 = table[1].take(np.concatenate([np.roll(part, 1, axis=0), part], axis=1)[i - lo :], axis=0)
-            a = q @ kv2[:, :, :WIDTH].transpose(0, 2, 1)
+            part = grid[i : i + 96]
+            q = table[0].take(part, axis=0)
+            kv = _with_front(table[1].take(front[i * BLOCK : (i + 1 + len(part)) * BLOCK], axis=0))
+            a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
             np.exp(a, out=a)
             a *= factor
-            a[new[i - lo :], :, :BLOCK] = 0
-            o = (a @ kv2[:, :, WIDTH:]).reshape(-1, WIDTH + 1)
-            o = o[:, :WIDTH] / o[:, WIDTH:]
-            z = self.last.take(part[i - lo :].ravel(), axis=0)
+            a[fresh[i : i + 96], :, :BLOCK] = 0
+            o = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+            o /= np.repeat(a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32), WIDTH).reshape(o.shape)
+            z = self.last.take(part.ravel(), axis=0)
             z += o @ self.out
             at = i * BLOCK
             zt = z[np.arange(len(z)), target[at : at + len(z)]]
@@ -417,16 +419,13 @@ def _blocks(m: Attention, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
 
 
 class Descent:
-    """Adam on the attention layer ``m``, which it changes in place; the tables of keys and values become columns of one."""
+    """Adam on the attention layer ``m``, which it changes in place."""
 
     names = ("last", "q", "k", "v", "out", "near")
 
     def __init__(self, m: Attention):
         self.m, self.step = m, 0
-        m.last, m.q = np.ascontiguousarray(m.last), np.ascontiguousarray(m.q)
-        self.keyed = np.hstack([m.k, m.v, np.ones((SYMBOLS, 1), np.float32)])  # the last column sums weights; its gradient is 0
-        m.k, m.v = self.keyed[:, :WIDTH], self.keyed[:, WIDTH : 2 * WIDTH]
-        self.values = (m.last, m.q, self.keyed, m.out, m.near)
+        self.values = tuple(getattr(m, name) for name in self.names)
         self.first, self.second = ([np.zeros_like(x) for x in self.values] for _ in range(2))
         distance = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
         self.distance, self.behind = np.maximum(distance, 0), (distance >= 0).astype(np.float32)
@@ -435,13 +434,12 @@ class Descent:
         """Of the mean loss on consecutive blocks, by ``values``; the first block sees none in front."""
         m, fresh, flat, n = self.m, fresh.copy(), sym.ravel(), sym.size
         fresh[0] = True
-        z, dq, dkv = (np.empty((n + 1, x.shape[1]), np.float32) for x in self.values[:3])  # a row of 0 at the end, see _sums
-        for x in (z, dq, dkv):
+        z, dq, dk, dv = (np.empty((n + 1, x.shape[1]), np.float32) for x in (m.last, m.q, m.k, m.v))  # a row of 0 at the end, see _sums
+        for x in (z, dq, dk, dv):
             x[n] = 0
         z = m.last.take(flat, axis=0, out=z[:n], mode="clip")
         q = m.q.take(sym, axis=0)
-        kv = self.keyed.take(np.concatenate([np.roll(sym, 1, axis=0), sym], axis=1), axis=0)
-        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        k, v = (_with_front(x.take(np.r_[flat[:BLOCK], flat], axis=0)) for x in (m.k, m.v))
         a = q @ k.transpose(0, 2, 1)
         if np.abs(m.near).max() + np.sqrt(np.einsum("ij,ij->i", m.q, m.q).max() * np.einsum("ij,ij->i", m.k, m.k).max()) > 60:  # else exp can't overflow
             a += m.mask()
@@ -452,9 +450,9 @@ class Descent:
             np.exp(a, out=a)
             a *= np.exp(m.near)[self.distance] * self.behind
             a[fresh, :, :BLOCK] = 0
-        o = (a @ v).reshape(n, WIDTH + 1)
-        total = o[:, WIDTH:]
-        o = o[:, :WIDTH] / total
+        total = np.repeat(a.reshape(n, -1) @ np.ones(2 * BLOCK, np.float32), WIDTH).reshape(n, WIDTH)
+        o = (a @ v).reshape(n, WIDTH)
+        o /= total
         z += o @ m.out
         if max(m.last.max(), -m.last.min()) + np.abs(m.v).max() * np.abs(m.out).sum(0).max() > 60:
             z -= z.max(-1, keepdims=True)
@@ -465,20 +463,20 @@ class Descent:
         weight[live] = share = 1 / np.float32(len(live))
         z *= weight / (z @ np.ones((CLASSES, 1), np.float32))
         z.ravel()[live * CLASSES + target[live]] -= share
-        do = z @ np.hstack([m.out.T, np.zeros((CLASSES, 1), np.float32)])
+        do = z @ m.out.T
         do /= total
-        do[:, WIDTH] = -np.einsum("ij,ij->i", do[:, :WIDTH], o)  # what all keys of a query have in common
-        do = do.reshape(-1, BLOCK, WIDTH + 1)
+        own = (do * o) @ np.ones(WIDTH, np.float32)  # what all keys of a query have in common
+        do = do.reshape(q.shape)
         ds = do @ v.transpose(0, 2, 1)
+        ds -= own.reshape(-1, BLOCK, 1)
         ds *= a
         np.matmul(ds, k, out=dq[:n].reshape(q.shape))
-        own = dkv[:n].reshape(-1, BLOCK, 2 * WIDTH + 1)
-        for there, back in ((slice(0, WIDTH), ds.transpose(0, 2, 1) @ q), (slice(WIDTH, None), a.transpose(0, 2, 1) @ do)):
-            back[:-1, BLOCK:] += back[1:, :BLOCK]
-            own[:, :, there] = back[:, BLOCK:]
-        dkv[:, 2 * WIDTH] = 0
-        near = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        return *self._sums(flat, z.base, dq, dkv), o.T @ z, near
+        for there, back in ((dk, ds.transpose(0, 2, 1) @ q), (dv, a.transpose(0, 2, 1) @ do)):
+            np.copyto(there[:n].reshape(q.shape), back[:, BLOCK:])
+            there[: n - BLOCK].reshape(-1, BLOCK, WIDTH)[:] += back[1:, :BLOCK]
+        near = np.bincount(self.distance.ravel(), (np.ones((1, len(ds)), np.float32) @ ds.reshape(len(ds), -1)).ravel(), 2 * BLOCK).astype(np.float32)
+        out = (o.reshape(-1, BLOCK, WIDTH).transpose(0, 2, 1) @ z.reshape(-1, BLOCK, CLASSES)).sum(0)
+        return *self._sums(flat, z.base, dq, dk, dv), out, near
 
     @staticmethod
     def _sums(flat: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
@@ -606,7 +604,8 @@ def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for kind, held in last.items():
             yield from _emit(schema, held, 0, kind=kind)
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    return got.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _flat(m: Attention) -> np.ndarray:
