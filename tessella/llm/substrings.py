@@ -218,9 +218,10 @@ def _digests(batches):
             tokens = (text or "").encode("utf-8", "surrogatepass").split()
             flag = np.zeros(len(tokens) + 1, np.int64)
             if part.get("at") and part["at"][i]:
-                lo, _ = context(np.array(part["at"][i]), len(tokens))
-                start = lo[:, None] + np.arange(REACH)
-                start = start[(np.array(part["mask"][i])[:, None] >> np.arange(REACH) & 1 == 1) & (start + WINDOW <= len(tokens))]
+                at = np.array(part["at"][i])
+                lo, hi = context(at, len(tokens))
+                start = lo[:, None] + np.arange(REACH)  # near the ends of a document fewer windows hold the anchor
+                start = start[(np.array(part["mask"][i])[:, None] >> np.arange(REACH) & 1 == 1) & (start + WINDOW <= hi[:, None])]
                 flag += np.bincount(start, minlength=len(flag)) - np.bincount(start + WINDOW, minlength=len(flag))
             gone = np.cumsum(flag)[:-1] > 0
             edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))

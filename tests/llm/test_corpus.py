@@ -496,6 +496,21 @@ def test_substrings_against_brute_force(spark, corpus):
     assert want[102][1] == 80
 
 
+def test_substrings_of_shared_heads(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for k, n in enumerate(range(48, 90)):
+        head, rest = fresh(n), [fresh(100), fresh(100)]
+        rows += [(2 * k + j, f"{head} {x}") for j, x in enumerate(rest)]
+        gone = n if n >= 50 else 0
+        want[2 * k] = (n + 100, 0, hashlib.sha256(rows[-2][1].encode()).hexdigest())
+        want[2 * k + 1] = (n + 100, gone, hashlib.sha256((rest[1] if gone else rows[-1][1]).encode()).hexdigest())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"most": 1}):
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs, **options).collect()} == want
+
+
 def test_lines(spark, corpus):
     got = {r.doc_id: r for r in lines.dedup_lines(corpus).collect()}
     assert got[104].text == "zero\nother" and got[104].n_removed == 3 and got[103].n_removed == 0
