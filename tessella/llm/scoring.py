@@ -475,8 +475,7 @@ class Descent:
             np.copyto(there[:n].reshape(q.shape), back[:, BLOCK:])
             there[: n - BLOCK].reshape(-1, BLOCK, WIDTH)[:] += back[1:, :BLOCK]
         near = np.bincount(self.distance.ravel(), (np.ones((1, len(ds)), np.float32) @ ds.reshape(len(ds), -1)).ravel(), 2 * BLOCK).astype(np.float32)
-        out = (o.reshape(-1, BLOCK, WIDTH).transpose(0, 2, 1) @ z.reshape(-1, BLOCK, CLASSES)).sum(0)
-        return *self._sums(flat, z.base, dq, dk, dv), out, near
+        return *self._sums(flat, z.base, dq, dk, dv), o.T @ z, near
 
     @staticmethod
     def _sums(flat: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
@@ -487,14 +486,18 @@ class Descent:
         starts = np.cumsum(groups) - groups
         at = np.full((int(groups.sum()), 4), len(flat))
         at.ravel()[np.arange(len(flat)) + np.repeat(4 * starts - np.cumsum(sizes) + sizes, sizes)] = order
-        seen = np.flatnonzero(sizes)
         columns = at.T.copy()
+        single, several = (np.flatnonzero(x) for x in (groups == 1, groups > 1))
+        # the groups of symbols with several, without the single ones between them
+        inner, ends = np.flatnonzero(np.repeat(groups > 1, groups)), np.cumsum(groups[several])
         for x in parts:
             held = x.take(columns[0], axis=0)
             for column in columns[1:]:
                 held += x.take(column, axis=0)
             out = np.zeros((SYMBOLS, x.shape[1]), np.float32)
-            out[seen] = np.add.reduceat(held, starts[seen], axis=0)
+            out[single] = held.take(starts[single], axis=0)
+            if len(several):
+                out[several] = np.add.reduceat(held.take(inner, axis=0), ends - groups[several], axis=0)
             yield out
 
     def on(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray, rate: float) -> None:
