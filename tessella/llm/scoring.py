@@ -54,6 +54,9 @@ TRAIN_RATE = 0.002
 #: Blocks of a step: towards the starting point, and in the partitions.
 STEP = 129
 TRAIN_STEP = 256
+#: Rows of a symbol that are added up at once, and blocks that are scored at once.
+GROUP = 8
+AT_ONCE = 192
 KEPT = 1 << 20
 MODEL_BYTES = 128 << 20
 #: Counted entries that a task holds before it sends them on.
@@ -76,10 +79,10 @@ def _as_one(encode: Callable[[str], list[int]], data: bytes, bytes_of: np.ndarra
 class Subwords:
     """Subword ids of words, each remembered as it comes (up to ``limit`` words)."""
 
-    def __init__(self, path: str, within: Within | None = None, limit: int = 400_000):
+    def __init__(self, path: str, within: Within | None = None, limit: int = 400_000, hot: np.ndarray | None = None):
         import tiktoken
 
-        self.within = within
+        self.within, self.hot = within, hot  # hot: sorted hashes of frequent words
 
         if path not in _CACHE:
             with open(path, "rb") as f:
@@ -96,10 +99,10 @@ class Subwords:
     def _reset(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.logp = np.zeros(0, np.float32)
+        self.logp, self.place = np.zeros(0, np.float32), np.zeros(0, np.int64)
 
     def of(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        """Index of each word among those remembered; ``ids``, ``starts`` and ``sizes`` have their subwords."""
+        """Index of each word among those remembered; ``ids``, ``starts`` and ``sizes`` have their subwords, ``place`` where they are in ``hot`` or -1."""
         order = np.argsort(hashes)
         values = hashes[order]
         edge = np.r_[True, values[1:] != values[:-1]][: len(values)]
@@ -116,6 +119,10 @@ class Subwords:
             self.ids = np.r_[self.ids, ids]
             if self.within is not None:
                 self.logp = np.r_[self.logp, self.within.logp(ids, sizes)]
+            if self.hot is not None:
+                keys = signed(values[new])
+                place = _places(self.hot, keys)
+                self.place = np.r_[self.place, np.where(self.hot[place] == keys, place, -1) if len(self.hot) else np.full(len(keys), -1)]
             self.keys, self.at = np.insert(self.keys, at[new], values[new]), np.insert(self.at, at[new], len(self.sizes) + np.arange(len(sizes)))
             self.sizes, self.starts = np.r_[self.sizes, sizes], np.r_[self.starts, starts]
             at += np.cumsum(new) - new
@@ -150,9 +157,12 @@ class Subwords:
         out[~is_alone], out[is_alone] = parts
         return out, sizes
 
-    def stream(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Subword ids of all texts, an end after each; how many each text has; how many each word (or end) has; log p within their class."""
-        at = self.of(words, hashes)
+    def stream(self, words: Words, hashes: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Subword ids of all texts, an end after each; how many each text has; how many each word (or end) has; log p within their class.
+
+        ``at`` is what ``of`` gave for these words, if it was called before.
+        """
+        at = self.of(words, hashes) if at is None else at
         n = len(words.n)
         tails = words.first + words.n + np.arange(n)  # where each end goes among the words
         sizes = np.insert(self.sizes[at].astype(np.int64), words.first + words.n, 1)
@@ -336,7 +346,7 @@ class Attention:
         base = np.cumsum(blocks) - blocks
         place = np.arange(len(ids)) + np.repeat(base * BLOCK - firsts, sizes)
         n = int(blocks.sum())
-        grid = np.full(n * BLOCK, SYMBOLS - 1, np.int32)
+        grid = np.full(n * BLOCK, SYMBOLS - 1, np.int64)
         grid[place[:-1] + 1] = sym[:-1]  # each subword is the input of the next
         grid[base * BLOCK] = SYMBOLS - 1  # a text starts from the padding symbol
         fresh = np.zeros(n, bool)
@@ -344,24 +354,24 @@ class Attention:
         front = np.r_[grid[:BLOCK], grid]  # block i is the one in front of block i of the grid
         grid = grid.reshape(-1, BLOCK)
         got = np.empty(grid.size, np.float32)
-        target = np.zeros(grid.size, np.int32)
-        target[place] = self.group[ids]
+        target = CLASSES * np.arange(grid.size)  # where each one's class is among the logits
+        target[place] += self.group[ids]
         table, factor = self.ready()
         one = np.ones(CLASSES, np.float32)
-        for i in range(0, n, 96):
-            part = grid[i : i + 96]
-            q = table[0].take(part, axis=0)
-            kv = _with_front(table[1].take(front[i * BLOCK : (i + 1 + len(part)) * BLOCK], axis=0))
+        for i in range(0, n, AT_ONCE):
+            part = grid[i : i + AT_ONCE]
+            q = table[0].take(part, axis=0, mode="clip")
+            kv = _with_front(table[1].take(front[i * BLOCK : (i + 1 + len(part)) * BLOCK], axis=0, mode="clip"))
             a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
             np.exp(a, out=a)
             a *= factor
-            a[fresh[i : i + 96], :, :BLOCK] = 0
+            a[fresh[i : i + AT_ONCE], :, :BLOCK] = 0
             o = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
             o /= np.repeat(a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32), WIDTH).reshape(o.shape)
-            z = self.last.take(part.ravel(), axis=0)
+            z = self.last.take(part.ravel(), axis=0, mode="clip")
             z += o @ self.out
             at = i * BLOCK
-            zt = z[np.arange(len(z)), target[at : at + len(z)]]
+            zt = z.ravel().take(target[at : at + len(z)] - CLASSES * at, mode="clip")
             np.exp(z, out=z)
             got[at : at + len(z)] = zt - np.log(z @ one)
         logp = got[place] + within
@@ -432,14 +442,15 @@ class Descent:
 
     def gradient(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the mean loss on consecutive blocks, by ``values``; the first block sees none in front."""
-        m, fresh, flat, n = self.m, fresh.copy(), sym.ravel(), sym.size
+        m, fresh, n = self.m, fresh.copy(), sym.size
         fresh[0] = True
-        z, dq, dk, dv = (np.empty((n + 1, x.shape[1]), np.float32) for x in (m.last, m.q, m.k, m.v))  # a row of 0 at the end, see _sums
-        for x in (z, dq, dk, dv):
-            x[n] = 0
-        z = m.last.take(flat, axis=0, out=z[:n], mode="clip")
-        q = m.q.take(sym, axis=0)
-        k, v = (_with_front(x.take(np.r_[flat[:BLOCK], flat], axis=0)) for x in (m.k, m.v))
+        rows = np.empty(BLOCK + n, np.int64)
+        rows[BLOCK:] = flat = sym.ravel()
+        rows[:BLOCK] = flat[:BLOCK]
+        flat = rows[BLOCK:]
+        z, q = (x.take(flat, axis=0, mode="clip") for x in (m.last, m.q))
+        q = q.reshape(-1, BLOCK, WIDTH)
+        k, v = (_with_front(x.take(rows, axis=0, mode="clip")) for x in (m.k, m.v))
         a = q @ k.transpose(0, 2, 1)
         if np.abs(m.near).max() + np.sqrt(np.einsum("ij,ij->i", m.q, m.q).max() * np.einsum("ij,ij->i", m.k, m.k).max()) > 60:  # else exp can't overflow
             a += m.mask()
@@ -470,34 +481,42 @@ class Descent:
         ds = do @ v.transpose(0, 2, 1)
         ds -= own.reshape(-1, BLOCK, 1)
         ds *= a
-        np.matmul(ds, k, out=dq[:n].reshape(q.shape))
-        for there, back in ((dk, ds.transpose(0, 2, 1) @ q), (dv, a.transpose(0, 2, 1) @ do)):
-            np.copyto(there[:n].reshape(q.shape), back[:, BLOCK:])
-            there[: n - BLOCK].reshape(-1, BLOCK, WIDTH)[:] += back[1:, :BLOCK]
+        parts = [z, (ds @ k).reshape(n, WIDTH)]
+        for back in (ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do):
+            own = back[:, BLOCK:].copy()
+            own[:-1] += back[1:, :BLOCK]
+            parts.append(own.reshape(n, WIDTH))
         near = np.bincount(self.distance.ravel(), (np.ones((1, len(ds)), np.float32) @ ds.reshape(len(ds), -1)).ravel(), 2 * BLOCK).astype(np.float32)
-        return *self._sums(flat, z.base, dq, dk, dv), o.T @ z, near
+        return *self._sums(flat, *parts), o.T @ z, near
 
     @staticmethod
     def _sums(flat: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
-        """The sum of the rows of each symbol, first in groups of 4 that the last row, all 0, fills up."""
+        """The sum of the rows of each symbol, first in groups of up to GROUP rows, the largest groups in front."""
         order = np.argsort(flat.astype(np.int16), kind="stable")
         sizes = np.bincount(flat, minlength=SYMBOLS)
-        groups = -(-sizes // 4)
+        groups = -(-sizes // GROUP)
         starts = np.cumsum(groups) - groups
-        at = np.full((int(groups.sum()), 4), len(flat))
-        at.ravel()[np.arange(len(flat)) + np.repeat(4 * starts - np.cumsum(sizes) + sizes, sizes)] = order
-        columns = at.T.copy()
+        symbol = np.repeat(np.arange(SYMBOLS), groups)
+        before = GROUP * (np.arange(len(symbol)) - starts[symbol])  # rows of the symbol in groups before this one
+        size = np.minimum(sizes[symbol] - before, GROUP)
+        by_size = np.argsort((GROUP - size).astype(np.int8), kind="stable")
+        first = ((np.cumsum(sizes) - sizes)[symbol] + before)[by_size]
+        at_least = len(size) - np.cumsum(np.bincount(size, minlength=GROUP + 1))[:GROUP]
+        columns = [order[first[:count] + i] for i, count in enumerate(at_least)]
+        place = np.empty(len(symbol), np.int64)
+        place[by_size] = np.arange(len(symbol))
         single, several = (np.flatnonzero(x) for x in (groups == 1, groups > 1))
+        alone = place[starts[single]]
         # the groups of symbols with several, without the single ones between them
-        inner, ends = np.flatnonzero(np.repeat(groups > 1, groups)), np.cumsum(groups[several])
+        inner, ends = place[groups[symbol] > 1], np.cumsum(groups[several])
         for x in parts:
-            held = x.take(columns[0], axis=0)
+            held = x.take(columns[0], axis=0, mode="clip")
             for column in columns[1:]:
-                held += x.take(column, axis=0)
+                held[: len(column)] += x.take(column, axis=0, mode="clip")
             out = np.zeros((SYMBOLS, x.shape[1]), np.float32)
-            out[single] = held.take(starts[single], axis=0)
+            out[single] = held.take(alone, axis=0, mode="clip")
             if len(several):
-                out[several] = np.add.reduceat(held.take(inner, axis=0), ends - groups[several], axis=0)
+                out[several] = np.add.reduceat(held.take(inner, axis=0, mode="clip"), ends - groups[several], axis=0)
             yield out
 
     def on(self, sym: np.ndarray, target: np.ndarray, fresh: np.ndarray, rate: float) -> None:
@@ -683,24 +702,25 @@ def lm_score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         m, inside, key, hot_log = sent.value
-        sub = Subwords(path, inside)
+        sub = Subwords(path, inside, hot=key)
         for part in chunks(batches, "text"):
             w = Words(part["text"], lower=True)
             h = w.hashes()
             k = len(w.n)
-            ids, sizes, _, logp = sub.stream(w, h)
+            at = sub.of(w, h)
+            ids, sizes, _, logp = sub.stream(w, h, at)
             got = m.score(ids, sizes, logp)
-            h = signed(h)
-            at = _places(key, h)
-            is_hot = key[at] == h if len(key) else np.zeros(len(h), bool)
-            base = np.bincount(w.doc[is_hot], hot_log[at[is_hot]], k) + end_log
+            place = sub.place[at]
+            is_hot = place >= 0
+            base = np.bincount(w.doc[is_hot], hot_log[place[is_hot]], k) + end_log
             row = np.asarray(part["row"], np.int64)
             known = np.bincount(w.doc[is_hot], minlength=k) + int(n_docs > 0)
             yield from batches_of(schema, kind=np.full(k, 1, np.int32), key=row, row=row, tf=np.zeros(k, np.int32), doc_id=part["doc_id"], n_tokens=w.n + 1, known=known, base=base, score=got)
-            doc, rest = w.doc[~is_hot], h[~is_hot]
-            order = np.lexsort((rest, doc))
-            doc, rest = doc[order], rest[order]
-            starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])]) if len(doc) else np.zeros(0, np.int64)
+            cold = np.flatnonzero(~is_hot)
+            both = w.doc[cold] * len(sub.sizes) + at[cold]  # a text and a word
+            order = np.argsort(both)
+            both, doc, rest = both[order], w.doc[cold][order], signed(h[cold])[order]
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(doc) else np.zeros(0, np.int64)
             tf = np.diff(np.r_[starts, len(doc)])
             e = len(starts)
             for batch in batches_of(pa.schema(list(schema)[:4]), kind=np.zeros(e, np.int32), key=rest[starts], row=row[doc[starts]], tf=tf):

@@ -281,6 +281,37 @@ def test_gradient_by_differences():
             assert math.isclose((sides[0] - sides[1]) / 0.04, g[at], rel_tol=0.02, abs_tol=2e-5)
 
 
+def test_a_remembered_word_is_looked_up_once_among_the_frequent(monkeypatch):
+    docs = [*texts(20), "x " * 30, "", None]
+    w = scoring.Words(docs, lower=True)
+    h = scoring.signed(w.hashes())
+    for hot in (np.unique(h)[::3], np.unique(h), h[:0]):
+        for limit in (5, 400_000):  # words are dropped before each call, or never
+            sub, looked = scoring.Subwords(scoring.VOCABULARY, limit=limit, hot=hot), []
+            places = scoring._places
+            monkeypatch.setattr(scoring, "_places", lambda keys, values: looked.append(len(values)) or places(keys, values))
+            for _ in range(2):
+                at = sub.of(w, w.hashes())
+                place = sub.place[at]
+                assert (place >= 0).tolist() == np.isin(h, hot).tolist() and (hot[place[place >= 0]] == h[place >= 0]).all()
+            monkeypatch.undo()
+            assert sum(looked) == len(np.unique(h)) * (2 if limit == 5 else 1)
+    at = sub.of(w, w.hashes())
+    assert all((x == y).all() for x, y in zip(sub.stream(w, w.hashes()), sub.stream(w, w.hashes(), at), strict=True))
+
+
+def test_sums_by_symbol_in_groups_of_any_size():
+    rng = np.random.default_rng(3)
+    sizes = {0: 1, 5: scoring.GROUP - 1, 6: scoring.GROUP, 7: scoring.GROUP + 1, 900: 5 * scoring.GROUP, scoring.SYMBOLS - 1: 40}
+    for own in (sizes, {3: 1}, {3: 2 * scoring.GROUP}):
+        flat = rng.permutation(np.repeat(list(own), list(own.values())))
+        parts = [rng.normal(size=(len(flat), width)).astype(np.float32) for width in (48, 12)]
+        for x, got in zip(parts, scoring.Descent._sums(flat, *parts), strict=True):
+            want = np.zeros((scoring.SYMBOLS, x.shape[1]))
+            np.add.at(want, flat, x)
+            assert np.allclose(got, want, atol=1e-5)
+
+
 def test_attention_scores_each_token_once_as_by_hand():
     model, within = scoring.train(texts(20), steps=20)
     sub = scoring.Subwords(scoring.VOCABULARY, within)
